@@ -98,3 +98,9 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
 def mixing_report(docs: DataFrame) -> DataFrame:
     """One row for each document: its words, its source's words and target, and the words the mix takes."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with their columns as they were, each as often as the mix takes it."""
+    times = mix(docs, keep=True)
+    return times.select(*docs.columns, F.explode(F.sequence(F.lit(1), "repeats")).alias("copy")).drop("copy") if "copy" not in docs.columns else times
