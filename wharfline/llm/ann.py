@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Postings (pivot, place in the order, vector) form an
-inverted file; a query reads the postings of its own nearest pivots, ranks what it meets by footrule distance
-(sum of the differences in place, a pivot missing from a list counting as its end) and reranks the best by
-exact cosine.
+A vector is represented by the order of all pivots by nearness. A block of the index posts its vectors in
+one inverted file for each pivot, which holds the pivot's place in each vector's order. A query adds up, file
+by file, how far the pivots' places are from those in its own order (footrule distance), keeps the nearest
+``rerank`` share of the block and reranks them by exact cosine in double precision.
 
-Pivots are a bounded sample of distinct vectors, about one for each ``rows_a_pivot`` vectors, so that a
-posting list keeps its length as the table grows; every vector is indexed. Equal vectors are posted once, with
-as many of the smallest ids as a result can hold. The cosine is taken in double precision.
+Pivots are a bounded sample of distinct vectors (``pivots`` of them); every vector is indexed. Queries and
+index meet in blocks, each pair of blocks in a task of its own, which returns a few rows for each query.
+Equal vectors are one node with as many of the smallest ids as a result can hold.
 
 Cases: null vectors, zero vectors and those with null or non-finite components take no part, nor do vectors
 without an id or of another length than the most common one; equal ids are candidates of their own; a query
@@ -25,48 +25,67 @@ from pyspark.sql import functions as F
 
 from wharfline.llm.workdir import materialize
 
-ROWS_A_PIVOT, FEWEST_PIVOTS, MOST_PIVOTS = 100, 64, 32_768
-#: Nearest pivots that represent a vector, and candidates that are reranked.
-PREFIX, RERANK = 12, 400
+PIVOTS = 256
+#: Share of a block that is reranked, and at least so many vectors.
+RERANK, LEAST_RERANK = 0.03, 128
+QUERY_BLOCK = 4096
 SALTS = 32
 
 
 def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """vec_id and unit vectors ``unit`` (double), for the vectors that can take part, and the originals ``v``."""
+    """vec_id and the vector ``v`` in double precision, of the vectors that can take part."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = rows.select(F.col(id_column).alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(fine & F.exists("v", lambda x: x != 0))
 
 
-def _nearest_pivots(rows: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
-    """node and its nearest pivots in order, by cosine."""
-    table = rows.sparkSession.sparkContext.broadcast(pivots.astype(np.float32))  # at most MOST_PIVOTS rows
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of large numbers stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """For each vector the place of each pivot in its order, nearest first."""
+    order = np.argsort(-(vectors @ pivots.T), 1, kind="stable")
+    out = np.empty(order.shape, np.uint8)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.uint8)[None, :], 1)
+    return out
+
+
+def build_index(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``nodes`` with its unit vector and its places as bytes."""
+    table = nodes.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS rows
+    others = [c for c in nodes.columns if c != "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                x = _matrix(batch.column(1))
-                x = (x / np.abs(x).max(1, keepdims=True))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                near = x.astype(np.float32) @ table.value.T
-                n = min(prefix, near.shape[1])
-                top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                order = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), 1, kind="stable"), 1).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(order.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "near"])
+                lists = batch.column("v")
+                x = unit(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1))
+                p = places(x, table.value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())], names=[*others, "unit", "places"])
+
+    return nodes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema if f.name != "v") + ", unit binary, places binary")
 
-    return rows.select("node", "v").mapInArrow(run, "node bigint, near array<int>")
 
+def block_search(query_places: np.ndarray, queries: np.ndarray, files: np.ndarray, vectors: np.ndarray, ties: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k best rows of the block and their cosines.
 
-def _matrix(lists) -> np.ndarray:
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(lists), -1)
+    files: row p is the inverted file of pivot p, the places of that pivot by vector of the block.
+    """
+    for i, own in enumerate(query_places):
+        far = own[:, None]
+        apart = (np.maximum(files, far) - np.minimum(files, far)).sum(0, dtype=np.uint16)
+        near = np.argpartition(apart, rerank - 1)[:rerank] if rerank < len(apart) else np.arange(len(apart))
+        cosine = np.einsum("ij,j->i", vectors[near], queries[i])
+        best = np.lexsort((ties[near], -cosine))[:k]
+        yield i, near[best], cosine[best]
 
 
-def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", prefix: int = PREFIX, rerank: int = RERANK, rows_a_pivot: int = ROWS_A_PIVOT) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest found of the other rows, for each row that ``queries_where`` names."""
+def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, rerank: float = RERANK, block_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest found of the other rows, for each row that ``queries_where`` names (of ``vec_id``)."""
     spark = rows.sparkSession
     vectors = materialize(spark, usable(rows, id_column, vector).withColumn("node", F.xxhash64("v")), "ann")
     common = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -75,46 +94,43 @@ def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "ve
     vectors = vectors.filter(F.size("v") == common.n)
     # equal vectors are one node, with the smallest ids that one result can need (k, and the query's own)
     few = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id")) <= k + 1
-    salted = vectors.withColumn("salt", F.pmod(F.hash("vec_id"), F.lit(SALTS)))
-    members = salted.select("node", "vec_id", "salt").withColumn("few", few("node", "salt")).filter("few").withColumn("few", few("node")).filter("few").select("node", "vec_id")
+    salted = vectors.select("node", "vec_id", F.pmod(F.hash("vec_id"), F.lit(SALTS)).alias("salt"))
+    members = salted.withColumn("few", few("node", "salt")).filter("few").withColumn("few", few("node")).filter("few").select("node", "vec_id")
     members = materialize(spark, members, "ann")
-    nodes = materialize(spark, vectors.groupBy("node").agg(F.first("v").alias("v")), "ann")
+    nodes = materialize(spark, vectors.groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.max(F.expr(queries_where)).alias("asked")), "ann")
     n = nodes.count()
-    count = int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, n // rows_a_pivot)))
-    sample = nodes.orderBy(F.xxhash64(F.col("node"), F.lit(7))).limit(count).select("v").toPandas()
-    pivots = np.array(sample["v"].tolist())
-    pivots = pivots / np.abs(pivots).max(1, keepdims=True)
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    lists = materialize(spark, _nearest_pivots(nodes, pivots, prefix), "ann")
-    postings = lists.select("node", F.posexplode("near").alias("place", "pivot"))
-    asked = vectors.filter(F.expr(queries_where.replace(id_column, "vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
-    asked = materialize(spark, asked, "ann")
-    query_nodes = asked.select("query_node").distinct()
-    probes = query_nodes.join(lists.withColumnRenamed("node", "query_node"), "query_node").select("query_node", F.posexplode("near").alias("q_place", "pivot"))
-    met = probes.join(postings, "pivot")
-    # a shared pivot saves what its absence from both lists would cost
-    saved = F.sum(2 * prefix - F.col("q_place") - F.col("place") - F.abs(F.col("q_place") - F.col("place")))
-    ranked = met.groupBy("query_node", "node").agg(saved.alias("saved"))
-    best = Window.partitionBy("query_node").orderBy(F.desc("saved"), "node")
-    found = ranked.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= rerank).select("query_node", "node")
-    found = materialize(spark, found, "ann")
-    vec = nodes.select("node", "v")
-    pairs = found.join(vec, "node").join(vec.select(F.col("node").alias("query_node"), F.col("v").alias("q")), "query_node")
-    scored = pairs.select("query_node", "node", cosine(F.col("q"), F.col("v")).alias("score"))
-    top = Window.partitionBy("query_node").orderBy(F.desc("score"), "least", "node")
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(min(pivots, 256)).select("v").toPandas()
+    index = materialize(spark, build_index(nodes, unit(np.array(sample["v"].tolist()))), "ann")
+    # pairs of blocks; blocks grow with the table up to a bound, so that their number stays moderate
+    size = block_rows or min(max(1024, n // 256), 65_536)
+    blocks, parts = max(1, -(-n // size)), max(1, -(-index.filter("asked").count() // QUERY_BLOCK))
+    spread = lambda column, count: F.pmod(F.xxhash64(column, F.lit(3)), F.lit(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = index.filter("asked").select("node", "unit", "places", spread("node", parts).alias("part"), each(blocks).alias("block"))
+    right = index.select("node", "least", "unit", "places", spread("node", blocks).alias("block"), each(parts).alias("part"))
+
+    def meet(q, x):
+        import pandas as pd
+
+        out = []
+        if len(q) and len(x):
+            stack = lambda column, kind: np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+            keep = max(LEAST_RERANK, int(rerank * len(x)))
+            nodes, asked = x["node"].to_numpy(), q["node"].to_numpy()
+            for i, at, cosine in block_search(stack(q["places"], np.uint8), stack(q["unit"], float), np.ascontiguousarray(stack(x["places"], np.uint8).T), stack(x["unit"], float), x["least"].to_numpy(), k + 1, keep):
+                out.append(pd.DataFrame({"query_node": asked[i], "node": nodes[at], "score": cosine}))
+        return pd.concat(out) if out else pd.DataFrame({"query_node": np.empty(0, np.int64), "node": np.empty(0, np.int64), "score": np.empty(0)})
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, "query_node bigint, node bigint, score double")
+    asked = vectors.filter(F.expr(queries_where)).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
     least = members.groupBy("node").agg(F.min("vec_id").alias("least"))
-    scored = scored.join(least, "node").withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1).select("query_node", "node", "score")
-    results = asked.join(scored, "query_node").join(members, "node").filter("vec_id != query_id")
+    top = Window.partitionBy("query_node").orderBy(F.desc("score"), "least", "node")
+    best = found.join(least, "node").withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1).select("query_node", "node", "score")
+    results = asked.join(best, "query_node").join(members, "node").filter("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return results.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def cosine(a, b):
-    """Cosine of two arrays of doubles."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def ann_report(rows: DataFrame) -> DataFrame:
     """The five nearest found for each vector whose id is divisible by 50."""
     return search(rows, "vec_id % 50 = 0")
