@@ -51,14 +51,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_re
     return rows.select("source", "rank", "source_size", F.least(F.col("cap").cast("double"), first * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target and ``repeats``, how many times the mix takes the document."""
+def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS, bucket_rows: int = BUCKET_ROWS, row: str | None = None) -> DataFrame:
+    """doc_id, row, source, size, source_size, target and ``repeats``, how many times the mix takes the document.
+
+    row: a column that tells the rows apart; numbers are given out if there is none.
+    """
     spark = docs.sparkSession
+    number = F.col(row) if row else F.monotonically_increasing_id()
     shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled.alias("key"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled.alias("key"), F.xxhash64("text").alias("tie"), number.alias("row"))
     rows = materialize(spark, rows, "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    targets = source_targets(sizes)
+    targets = source_targets(sizes, weights, most_repeats)
     # buckets split the key range evenly; a source of few rows leaves most of them empty
     total = rows.count()
     n = 1
@@ -70,7 +74,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
     sums = rows.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("bucket_size"))
     sums = sums.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("s").orderBy("b")) - F.col("bucket_size"))
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("inside", inside)
+    rows = rows.withColumn("inside", inside)
     rows = rows.join(sums.drop("bucket_size"), same & (F.col("bucket") == F.col("b"))).drop("s", "b")
     rows = rows.join(targets.withColumnRenamed("source", "s"), same).drop("s")
     rows = rows.select("doc_id", "source", "rank", "size", "source_size", "target", "key", "tie", "row", (F.col("before") + F.col("inside")).alias("sent"))
@@ -92,7 +96,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
     last = copies.join(cut.select("slice", "ahead", "budget"), "slice").withColumn("sum", F.col("ahead") + run).filter("sum <= budget")
     taken = copies.join(whole, "slice", "left_semi").select("row").unionByName(last.select("row"))
     repeats = taken.groupBy("row").agg(F.count("*").alias("repeats"))
-    return rows.join(repeats, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("repeats", F.lit(0)).alias("repeats"))
+    return rows.join(repeats, "row", "left").select("doc_id", "row", "source", "size", "source_size", "target", F.coalesce("repeats", F.lit(0)).alias("repeats"))
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
@@ -102,5 +106,6 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with their columns as they were, each as often as the mix takes it."""
-    times = mix(docs, keep=True)
-    return times.select(*docs.columns, F.explode(F.sequence(F.lit(1), "repeats")).alias("copy")).drop("copy") if "copy" not in docs.columns else times
+    numbered = materialize(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()), "mixing")
+    times = mix(numbered, row="_row").filter("repeats > 0").select(F.col("row").alias("_row"), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("_copy"))
+    return numbered.join(times, "_row").select(*docs.columns)
