@@ -135,9 +135,12 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("path", F.substring_index("path", "/", -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
 
 
-def ready_files(files: DataFrame, require_done: bool = False, unfinished: tuple[str, ...] = (".part", ".tmp", ".upload")) -> DataFrame:
-    """Files that are complete: not empty, not under a name of unfinished ones, with their ``.done`` marker if asked."""
-    done = files.filter(F.col("path").endswith(".done")).select(F.expr("left(path, length(path) - 5)").alias("path"))
+def ready_files(files: DataFrame, require_done: bool = False, unfinished: tuple[str, ...] = (".part", ".tmp", ".upload"), markers: DataFrame | None = None) -> DataFrame:
+    """Files that are complete: not empty, not under a name of unfinished ones, with their ``.done`` marker if asked.
+
+    markers: paths that hold the markers, if they aren't among the files.
+    """
+    done = (files if markers is None else markers).filter(F.col("path").endswith(".done")).select(F.expr("left(path, length(path) - 5)").alias("path"))
     rows = files.filter((F.col("length") > 0) & ~F.col("path").endswith(".done"))
     for end in unfinished:
         rows = rows.filter(~F.lower("path").endswith(end))
@@ -145,7 +148,13 @@ def ready_files(files: DataFrame, require_done: bool = False, unfinished: tuple[
 
 
 def list_ready_files(spark: SparkSession, directory: str, require_done: bool = False) -> DataFrame:
-    return ready_files(list_files(spark, directory), require_done)
+    files = list_files(spark, directory)
+    if not require_done:
+        return ready_files(files)
+    # scans leave out empty files, which markers mostly are; the listing that the driver holds has them
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).inputFiles()
+    markers = spark.createDataFrame([(re.sub("^file:/+", "file:/", p),) for p in listed if p.endswith(".done")], "path string")
+    return ready_files(files, True, markers=markers)
 
 
 def fingerprint_files(spark: SparkSession, directory: str) -> DataFrame:
