@@ -36,7 +36,7 @@ def _share(n: Column, of: Column) -> Column:
 
 
 def statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with a struct ``stats`` of statistics of its text, and their names."""
+    """``docs`` with a struct ``_stats`` of statistics of its text, and their names."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
@@ -68,7 +68,7 @@ def statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         "function_words": known.cast("double"),
         "function_share": _share(known, F.least(distinct, F.lit(60))),
     }
-    return raw.withColumn("stats", once(F.struct(*(c.alias(k) for k, c in stats.items())))).drop("_q"), list(stats)
+    return raw.withColumn("_stats", once(F.struct(*(c.alias(k) for k, c in stats.items())))).drop("_q"), list(stats)
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ class Model:
             z += r.weight * r.holds(x)
         return 1 / (1 + np.exp(-z))
 
-    def column(self, stats: str = "stats") -> Column:
+    def column(self, stats: str = "_stats") -> Column:
         """The score as a Spark expression."""
         z = F.lit(self.intercept)
         for r in self.rules:
@@ -168,7 +168,7 @@ def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> t
 def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
     """Trees, their paths as rules, and lasso weights."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         # one kind of label only says how common it is
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(tuple(names), float(np.log(share / (1 - share))), ())
@@ -203,14 +203,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
     order = F.xxhash64("doc_id")
     sample = known.select(F.col("doc_id"), F.col(label).cast("double").alias("label")).orderBy(order, "doc_id", "label").limit(most_rows)
     rows, names = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # at most most_rows rows
-    got = rows.select("doc_id", "label", "stats.*").orderBy(order, "doc_id", "label", *names).limit(most_rows).toPandas()
+    got = rows.select("doc_id", "label", "_stats.*").orderBy(order, "doc_id", "label", *names).limit(most_rows).toPandas()
     return fit_rules(got[names].to_numpy(float), got["label"].to_numpy(float), names)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (likelihood of label 1) and ``predicted``."""
+    """``docs`` with ``score`` (likelihood of label 1) and ``predicted``; columns of these names are replaced."""
     rows, _ = statistics(docs)
-    return rows.withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("stats")
+    return rows.withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("_stats")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,4 +221,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject."""
-    return score(docs, train(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    rows, _ = statistics(docs)
+    return rows.filter(train(docs, labels).column() >= THRESHOLD).select(*docs.columns)
