@@ -266,8 +266,7 @@ add("P10_business_key", lambda t: t("raw").select("id", tx.business_key("batch_d
 DATES = "SELECT id, CASE id % 5 WHEN 0 THEN batch_date WHEN 1 THEN replace(batch_date, '-', '/') WHEN 2 THEN replace(batch_date, '-', '') WHEN 3 THEN replace(substr(batch_date, 1, 7), '-', '_') ELSE ' ' END AS d, batch_date FROM raw"
 dates = lambda t: t("raw").select("id", F.when(F.col("id") % 5 == 0, F.col("batch_date")).when(F.col("id") % 5 == 1, F.replace("batch_date", F.lit("-"), F.lit("/"))).when(F.col("id") % 5 == 2, F.replace("batch_date", F.lit("-"), F.lit(""))).when(F.col("id") % 5 == 3, F.replace(F.substring("batch_date", 1, 7), F.lit("-"), F.lit("_"))).otherwise(" ").alias("d"))
 add("P11_partition_key", lambda t: dates(t).select("id", tx.partition_key("d", at(ORDERS_NOW)).alias("k")), f"SELECT id, CASE WHEN id % 5 = 4 THEN '2001_08' ELSE replace(substr(batch_date, 1, 7), '-', '_') END AS k FROM ({DATES}) AS x")
-SPREAD = "regexp_replace(trim(substr(text, 1, {n})), '\\s+', ' ', 'g')"
-add("P12_format_name", lambda t: t("documents").select("doc_id", tx.format_name(F.substring("text", 1, 180)).alias("name")), "SELECT doc_id, CASE WHEN length(s) > 100 THEN substr(s, 1, 97) || '...' ELSE s END AS name FROM (SELECT doc_id, upper(regexp_replace(regexp_replace(substr(text, 1, 180), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '\\s+', ' ', 'g')) AS s FROM documents WHERE lang = 'en' ) AS x UNION ALL SELECT doc_id, CASE WHEN length(s) > 100 THEN substr(s, 1, 97) || '...' ELSE s END AS name FROM (SELECT doc_id, upper(replace(regexp_replace(regexp_replace(substr(text, 1, 180), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '\\s+', ' ', 'g'), 'ß', 'SS')) AS s FROM documents WHERE lang <> 'en') AS y")
+add("P12_format_name", lambda t: t("documents").select("doc_id", tx.format_name(F.substring("text", 1, 180)).alias("name")), "SELECT doc_id, CASE WHEN length(s) > 100 THEN substr(s, 1, 97) || '...' ELSE s END AS name FROM (SELECT doc_id, upper(replace(regexp_replace(regexp_replace(substr(text, 1, 180), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '\\s+', ' ', 'g'), 'ß', 'SS')) AS s FROM documents) AS x")
 add("P13_format_description", lambda t: t("documents").select("doc_id", tx.format_description("text").alias("description")), "SELECT doc_id, CASE WHEN length(s) > 500 THEN substr(s, 1, 497) || '...' ELSE s END AS description FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g') AS s FROM documents) AS x")
 add("P14_format_batch_date", lambda t: t("raw").select("id", tx.format_batch_date(F.when(F.col("id") % 3 == 0, F.col("batch_date")).when(F.col("id") % 3 == 1, F.concat("batch_date", F.lit("T10:15:30"))).otherwise(F.concat("batch_date", F.lit("x")))).alias("d")), "SELECT id, CASE WHEN id % 3 < 2 THEN batch_date ELSE batch_date || 'x' END AS d FROM raw")
 add("P15_batch_date_d", lambda t: dates(t).select("id", tx.batch_date_d("d").cast("string").alias("d")), f"SELECT id, CASE WHEN id % 5 = 0 THEN batch_date END AS d FROM ({DATES}) AS x")
