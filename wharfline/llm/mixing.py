@@ -24,6 +24,8 @@ WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 #: Rows in a bucket, on average over all sources.
 BUCKET_ROWS = 2000
+#: Slices of a doubling of virtual time, and parts of a slice.
+COARSE, FINE = 512, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -83,22 +85,31 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
     passes = F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("pass")
     copies = rows.filter("size > 0 and target > 0").select("*", passes)
     copies = copies.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("sent")) / F.col("target"))
-    slices = max(n, 16)
-    copies = copies.withColumn("slice", F.floor(F.least("finish", F.lit(float(most_repeats * 4))) * slices))
+    # the cut is found in two steps of slices of virtual time, each of some thousands, then row by row
+    budget = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("left"))
+    scaled = F.log2(1 + F.col("finish")) * COARSE
+    copies = copies.withColumn("slice", F.floor(scaled)).withColumn("part", F.floor((scaled - F.floor(scaled)) * FINE))
+    whole, inside, left = _cut(copies, "slice", budget)
+    whole2, last, left = _cut(inside, "part", left)
     order = ["finish", "rank", "pass", "key", "doc_id", "tie", "row"]
-    budget = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
-    of_slice = copies.groupBy("slice").agg(F.sum("size").alias("slice_size"))
-    ahead = of_slice.select("slice", (F.sum("slice_size").over(Window.orderBy("slice")) - F.col("slice_size")).alias("ahead"), F.col("slice_size"))
-    ahead = ahead.crossJoin(F.broadcast(budget))  # one row
-    cut = ahead.filter((F.col("ahead") < F.col("budget")) & (F.col("ahead") + F.col("slice_size") > F.col("budget")))
-    whole = ahead.filter(F.col("ahead") + F.col("slice_size") <= F.col("budget")).select("slice")
-    run = F.sum("size").over(Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    last = copies.join(cut.select("slice", "ahead", "budget"), "slice").withColumn("sum", F.col("ahead") + run).filter("sum <= budget")
-    taken = copies.join(whole, "slice", "left_semi").select("row").unionByName(last.select("row"))
+    run = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    last = last.crossJoin(F.broadcast(left)).withColumn("sum", run).filter("sum <= left")
+    taken = whole.select("row").unionByName(whole2.select("row")).unionByName(last.select("row"))
     repeats = taken.groupBy("row").agg(F.count("*").alias("repeats"))
     return rows.join(repeats, "row", "left").select("doc_id", "row", "source", "size", "source_size", "target", F.coalesce("repeats", F.lit(0)).alias("repeats"))
 
 
+def _cut(copies: DataFrame, slice_column: str, budget: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(copies of slices that fit, copies of the slice that the budget cuts, what is left for that slice)."""
+    sums = copies.groupBy(slice_column).agg(F.sum("size").alias("n"))
+    ahead = sums.select(slice_column, "n", (F.sum("n").over(Window.orderBy(slice_column)) - F.col("n")).alias("ahead")).crossJoin(F.broadcast(budget))  # one row
+    ends = materialize(copies.sparkSession, ahead.filter("ahead + n > left").orderBy("ahead").limit(1).select(F.col(slice_column).alias("s"), (F.col("left") - F.col("ahead")).alias("left")), "mixing")
+    first = ends.first()
+    if first is None:  # everything fits
+        return copies, copies.limit(0), ends.select("left")
+    return copies.filter(F.col(slice_column) < first.s), copies.filter(F.col(slice_column) == first.s), ends.select("left")
+
+
 def mixing_report(docs: DataFrame) -> DataFrame:
     """One row for each document: its words, its source's words and target, and the words the mix takes."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
