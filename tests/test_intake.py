@@ -1,4 +1,4 @@
-"""Files in, records out: the cases that the reference's own fixtures cover."""
+"""Files in, records out."""
 
 import gzip
 import zipfile
