@@ -251,15 +251,15 @@ add("P1_rejected", lambda t: mp.apply_mapping(mapped(t), RULES)[1].select("line_
 
 def one_op(name: str, op: str, source, arg: str | None, table: str, sql: str) -> None:
     """One mapping operation over a column of a table."""
-    add(name, lambda t: mp.apply_mapping(t(table).select(F.col("id"), source.alias("source")), [mp.Rule("source", "value", op, arg), mp.Rule("id", "id")], raw="", on_error="reject")[0], sql)
+    add(name, lambda t: mp.apply_mapping(t(table).select(F.col("id"), source().alias("source")), [mp.Rule("source", "value", op, arg), mp.Rule("id", "id")], raw="", on_error="reject")[0], sql)
 
 
-one_op("P2_op_none", "NONE", F.col("description"), None, "raw", "SELECT description AS value, CAST(id AS STRING) AS id FROM raw")
-one_op("P3_op_trim", "TRIM", F.concat(F.lit("\t "), F.col("description"), F.lit(" \n")), None, "raw", "SELECT description AS value, CAST(id AS STRING) AS id FROM raw")
-one_op("P4_op_upper", "UPPER", F.col("name"), None, "raw", "SELECT upper(name) AS value, CAST(id AS STRING) AS id FROM raw")
-one_op("P5_op_lower", "LOWER", F.col("name"), None, "raw", "SELECT lower(name) AS value, CAST(id AS STRING) AS id FROM raw")
-one_op("P6_op_default", "DEFAULT", F.when(F.col("id") % 3 != 0, F.col("name")).otherwise(" "), "none", "raw", "SELECT CASE WHEN id % 3 <> 0 THEN name ELSE 'none' END AS value, CAST(id AS STRING) AS id FROM raw")
-one_op("P7_op_date_format", "DATE_FORMAT", F.date_format("created_at", "dd.MM.yyyy"), "dd.MM.yyyy", "raw", "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS value, CAST(id AS STRING) AS id FROM raw")
+one_op("P2_op_none", "NONE", lambda: F.col("description"), None, "raw", "SELECT description AS value, CAST(id AS STRING) AS id FROM raw")
+one_op("P3_op_trim", "TRIM", lambda: F.concat(F.lit("\t "), F.col("description"), F.lit(" \n")), None, "raw", "SELECT description AS value, CAST(id AS STRING) AS id FROM raw")
+one_op("P4_op_upper", "UPPER", lambda: F.col("name"), None, "raw", "SELECT upper(name) AS value, CAST(id AS STRING) AS id FROM raw")
+one_op("P5_op_lower", "LOWER", lambda: F.col("name"), None, "raw", "SELECT lower(name) AS value, CAST(id AS STRING) AS id FROM raw")
+one_op("P6_op_default", "DEFAULT", lambda: F.when(F.col("id") % 3 != 0, F.col("name")).otherwise(" "), "none", "raw", "SELECT CASE WHEN id % 3 <> 0 THEN name ELSE 'none' END AS value, CAST(id AS STRING) AS id FROM raw")
+one_op("P7_op_date_format", "DATE_FORMAT", lambda: F.date_format("created_at", "dd.MM.yyyy"), "dd.MM.yyyy", "raw", "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS value, CAST(id AS STRING) AS id FROM raw")
 add("P8_pack_attributes", lambda t: mp.pack_attributes(t("raw").select("line_no", "name", "description", F.col("batch_date").alias("day"))).select("line_no", "name", F.col("attributes")["day"].alias("day"), F.size("attributes").alias("n")), "SELECT line_no, name, batch_date AS day, 1 AS n FROM raw")
 add("P9_standardize", lambda t: mp.standardize(t("raw").withColumn("name", F.when(F.col("id") % 6 != 0, F.col("name")).otherwise(" ")))[0].select("id", "name"), "SELECT id, upper(name) AS name FROM raw WHERE id % 6 <> 0")
 add("P10_business_key", lambda t: t("raw").select("id", tx.business_key("batch_date", F.when(F.col("id") % 3 != 0, F.col("name"))).alias("k"), tx.business_key("batch_date", fields=["name", F.when(F.col("id") % 3 != 0, F.col("description"))]).alias("k2")), "SELECT id, CASE WHEN id % 3 <> 0 THEN name ELSE 'unknown' END || ':' || batch_date AS k, name || '|' || CASE WHEN id % 3 <> 0 THEN description ELSE '' END || ':' || batch_date AS k2 FROM raw")
