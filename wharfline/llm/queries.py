@@ -64,5 +64,22 @@ FROM n WINDOW g AS (PARTITION BY h)
 """
 
 
+# the mix is the longest series of copies, in the order of their finish times, that fits the budget
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('0:' || CAST(doc_id AS VARCHAR)) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, rank % 3 + 1 AS weight, source_size * 3 AS cap FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
+      FROM w WINDOW b AS (ORDER BY cap / CAST(weight AS DOUBLE), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / CAST(weight AS DOUBLE), rank LIMIT 1),
+t AS (SELECT source, rank, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM f) * weight) AS target FROM w),
+r AS (SELECT d.*, t.rank, t.source_size, t.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id) AS BIGINT) AS sent FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, size, CAST(p * source_size + sent AS DOUBLE) / target AS finish, rank, p, key FROM r, range(3) AS g(p) WHERE size > 0 AND target > 0),
+k AS (SELECT doc_id, sum(size) OVER (ORDER BY finish, rank, p, key, doc_id) AS run FROM c),
+n AS (SELECT doc_id, count(*) AS repeats FROM k WHERE run <= (SELECT sum(source_size) FROM t) GROUP BY doc_id)
+SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * coalesce(n.repeats, 0) AS BIGINT) AS taken FROM r LEFT JOIN n ON n.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
