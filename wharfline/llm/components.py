@@ -17,13 +17,14 @@ from wharfline.llm.workdir import materialize
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # minimums as a table of their own, so that the join can be split at a hub
+    least = materialize(links.sparkSession, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     # links run from the larger node a to the smaller node b
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(links.sparkSession, links.groupBy("a").agg(F.min("b").alias("m")), "components")
     moved = links.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -38,7 +39,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
     now = materialize(spark, now, "components")
     for _ in range(most_rounds):
-        nxt = materialize(spark, _small_star(_large_star(now)), "components")
+        nxt = materialize(spark, _small_star(materialize(spark, _large_star(now), "components")), "components")
         # a star forest: no node has two links, no centre is itself a leaf
         state = nxt.agg(F.count("*").alias("n"), F.countDistinct("a").alias("leaves")).first()
         if state.n == state.leaves and not nxt.join(nxt.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
