@@ -119,7 +119,8 @@ def test_masks_cover(count):
 def test_simhash_odd(odd, empty):
     rows = simhash.simhash_report(odd).collect()
     assert len(rows) == 9 and {r.component_id for r in rows if r.doc_id in (1, 2, 8)} == {1}
-    assert simhash.keep_first(odd).columns == odd.columns
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "3", "7", "9", "None", "None"]
     assert simhash.simhash_report(empty).count() == 0
 
 

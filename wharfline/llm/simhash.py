@@ -188,6 +188,7 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """The documents of which each component keeps one, that of the smallest doc_id."""
-    kept = near_duplicates(docs, radius, words).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents of which each component keeps one, that of the smallest doc_id; those without an id stay."""
+    rows = near_duplicates(docs, radius, words).filter("doc_id IS NOT NULL")
+    dropped = rows.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept")).filter("NOT kept")
+    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
