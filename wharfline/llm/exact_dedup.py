@@ -83,6 +83,8 @@ def exact_groups(docs: DataFrame, from_files: bool = False, digest: Callable[[Co
     index = spark.read.parquet(f"{base}/index")
     # a digest is in each batch that changed it; its count only rises and its first row only falls
     groups = spark.read.parquet(f"{base}/groups").groupBy("digest").agg(F.min("keep").alias("keep"), F.max("group_size").alias("group_size"))
+    # as a table of its own, so that the join can be split where a digest is hot
+    groups = materialize(spark, groups, "exact-dedup")
     rows = index.join(groups, "digest")
     place = F.struct("first.file", "first.row").alias("locator")
     shape = [F.col("first.doc_id").alias("doc_id"), "digest", place, F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("first").eqNullSafe(F.col("keep")).alias("kept")]
