@@ -162,6 +162,42 @@ def test_lines_against_brute_force(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def edited_lines(rng, n, low, high, passage=0):
+    """n pairs of lines of low to high bytes with a Jaccard similarity of 0.80 to 0.85; a share of each line is one common passage."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    text = lambda size: " ".join(word() for _ in range(size))[:size]
+    common, out = text(high), []
+    while len(out) < n:
+        size = rng.randint(low, high)
+        a = common[: int(size * passage)] + text(size - int(size * passage))
+        at = rng.randrange(len(a))
+        b = a[:at] + text(rng.randint(1, max(1, size // 12))) + a[at + rng.randint(0, size // 12):]
+        x, y = ({t[i: i + 12] for i in range(max(1, len(t) - 11))} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            out.append((a, b))
+    return out
+
+
+def banded(spark, lines):
+    """The bands of each line."""
+    table = spark.createDataFrame([(i, 0, line) for i, line in enumerate(lines)], "h1 long, h2 long, line string")
+    signed = {r.h1: r for r in line_dedup.signatures(table).collect()}
+    return [{(n, *(signed[i][f"m{k}"] for k in band)) for n, band in enumerate(line_dedup.BANDS)} for i in range(len(lines))]
+
+
+def test_lines_of_a_common_passage(spark):
+    lines = [line for pair in edited_lines(random.Random(5), 200, 100, 160, 0.6) for line in pair]
+    sets = [{line[i: i + 12] for i in range(len(line) - 11)} for line in lines]
+    bands = banded(spark, lines)
+    like = [(i, j) for j in range(len(lines)) for i in range(j) if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = union(len(lines), like)
+    assert sum(len(bands[i] & bands[j]) == 1 for i, j in like) > 5
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.dropped_lines(docs).collect()}
+    # each similar pair that meets in any band is found, whatever the bucket's centre
+    assert got == {i for i, r in enumerate(root) if r != i}
+
+
 def test_lines_odd(odd, empty):
     assert line_dedup.line_report(odd).count() == 9
     assert line_dedup.line_report(empty).count() == 0
