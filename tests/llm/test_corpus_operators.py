@@ -198,6 +198,14 @@ def test_lines_of_a_common_passage(spark):
     assert got == {i for i, r in enumerate(root) if r != i}
 
 
+@pytest.mark.parametrize("low, high", [(40, 90), (90, 150), (150, 300)])
+def test_fuzzy_lines_meet(spark, low, high):
+    pairs = edited_lines(random.Random(low), 300, low, high)
+    bands = banded(spark, [line for pair in pairs for line in pair])
+    met = sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(len(pairs)))
+    assert met >= 0.98 * len(pairs), met
+
+
 def test_lines_odd(odd, empty):
     assert line_dedup.line_report(odd).count() == 9
     assert line_dedup.line_report(empty).count() == 0
