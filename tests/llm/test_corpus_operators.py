@@ -330,3 +330,21 @@ def test_queries(spark):
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_neighbours_by_share_alone(spark, monkeypatch):
+    """The recall of one large block, where the least number of reranked vectors doesn't act."""
+    monkeypatch.setattr(ann, "LEAST_RERANK", 1)
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.search(data, "vec_id % 50 = 0", block_rows=1 << 16).toPandas()
+    rows = data.orderBy("vec_id").toPandas()
+    x = np.array(rows.embedding.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, hits, all_ = rows.vec_id.to_numpy(), 0, 0
+    for q, found in got.groupby("query_id"):
+        near = x @ x[ids == q][0]
+        near[ids == q] = -2
+        hits += len(set(ids[np.argsort(-near)[:5]]) & set(found.vec_id))
+        all_ += 5
+    print("recall", hits / all_, all_)
+    assert all_ == 5 * sum(ids % 50 == 0) and hits >= 0.98 * all_

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from wharfline.llm.workdir import materialize
 
 PIVOTS = 256
-#: Share of a block that is reranked, and at least so many vectors.
-RERANK, LEAST_RERANK = 0.03, 128
+#: Share of a block that is reranked, the same at every size of a table, and at least so many vectors.
+RERANK, LEAST_RERANK = 0.125, 128
 QUERY_BLOCK = 4096
 SALTS = 32
 
