@@ -175,3 +175,17 @@ def test_labels_of_the_held_out_fold_are_unused(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
     flipped = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert quality.train(docs, labels) == quality.train(docs, flipped)
+
+
+def test_secrets_behind_words(documents):
+    """Readable words in a run don't hide its random part; known shapes stay out."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    secret = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["/services/configuration/production/credentials/" + secret(string.ascii_letters + string.digits, n) for n in (20, 24, 32)]
+    texts += ["configurationproductioncredentialsservices" + secret(string.ascii_letters + string.digits, 32), "xqzkvjwpqhzxkvbnqwjz"]
+    fine = ["/services/configuration/production/credentials/latest/version", "internationalization", "/services/configuration/production/550e8400-e29b-41d4-a716-446655440000"]
+    got = {r.doc_id: r.n_random for r in secrets.secret_digests(documents(*enumerate(texts + fine))).collect()}
+    assert [got[i] for i in range(len(got))] == [1] * len(texts) + [0] * len(fine)

@@ -3,7 +3,8 @@
 A run of key-like characters that takes many tokens for its length under a byte-pair vocabulary was not
 written by a person: words merge to long tokens, random characters don't. Runs of known shape (hexadecimal
 digests of usual lengths, UUIDs, numbers, words joined by separators) are identifiers and aren't reported by
-this test; a pattern may still match them.
+this test; a pattern may still match them. Of a run that isn't random as a whole, the parts between separators
+and windows are tested, so that a path doesn't hide a random part.
 
 One pass over the table, no shuffle. Cases: a null or empty text has no spans and gives zero counts and the
 digest of the empty string; rows with equal ids are scanned as they are; other columns are ignored.
@@ -39,8 +40,9 @@ DIGEST_LENGTHS = {16, 32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Numbers, dates and words (of one case, capitalised or digits) joined by separators.
 IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[+/_=-]*")
-#: No run of plain words of one kind is random without a digit or letters of both cases inside.
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+#: Parts of a run that are tested by themselves: between separators, and windows with at most so many separators.
+PART, SEPARATOR = re.compile(r"[A-Za-z0-9]{16,}"), re.compile(r"[+/_=-]")
+WINDOW, STEP, SEPARATORS = 20, 4, 2
 #: A text may hold long runs (encoded files); pieces of this size are tested, whose mean counts.
 PIECE = 4096
 
@@ -65,11 +67,40 @@ class Scanner:
     def is_known(self, run: str) -> bool:
         return bool(len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run))
 
+    def is_random(self, run: str) -> bool:
+        """One long word of letters is an identifier only if it takes few tokens."""
+        return not self.is_known(run) and (run.isalpha() or not IDENTIFIER.fullmatch(run)) and self.ratio(run) < self.most
+
+    def random_parts(self, run: str) -> Iterator[tuple[int, int]]:
+        """Random strings in a run whose readable words hide them from its mean; overlapping ones are one."""
+        parts = [m for m in PART.finditer(run)]
+        found = [m.span() for m in parts if self.is_random(m[0])]
+        known = [m.span() for m in UUID.finditer(run)] + [m.span() for m in parts if self.is_known(m[0])]
+        starts = {*range(0, len(run) - WINDOW, STEP), len(run) - WINDOW} if len(run) > WINDOW else ()
+        for a in starts:
+            b = a + WINDOW
+            window = run[a:b]
+            if any(s < b and a < e for s, e in known) or len(SEPARATOR.findall(window)) > SEPARATORS:
+                continue
+            if self.is_random(window):
+                found.append((a, b))
+        end = None
+        for a, b in sorted(found):
+            if end is not None and a < end:
+                end = max(end, b)
+                continue
+            if end is not None:
+                yield start, end
+            start, end = a, b
+        if end is not None:
+            yield start, end
+
     def random_runs(self, text: str) -> Iterator[tuple[int, int]]:
         for m in RUN.finditer(text):
-            run = m[0]
-            if MIXED.search(run) and not self.is_known(run) and not IDENTIFIER.fullmatch(run) and self.ratio(run) < self.most:
+            if self.is_random(m[0]):
                 yield m.span()
+            elif not self.is_known(m[0]):
+                yield from ((m.start() + a, m.start() + b) for a, b in self.random_parts(m[0]))
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of what the patterns match."""
