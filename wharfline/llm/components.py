@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.workdir import materialize
+from wharfline.llm.workdir import Scratch, materialize
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(scratch: Scratch, links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # minimums as a table of their own, so that the join can be split at a hub
-    least = materialize(links.sparkSession, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components")
+    least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a > b")
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(scratch: Scratch, links: DataFrame) -> DataFrame:
     # links run from the larger node a to the smaller node b
-    least = materialize(links.sparkSession, links.groupBy("a").agg(F.min("b").alias("m")), "components")
+    least = scratch.table(links.groupBy("a").agg(F.min("b").alias("m")))
     moved = links.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -36,13 +36,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     a, b = links.columns
-    now = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
-    now = materialize(spark, now, "components")
-    for _ in range(most_rounds):
-        nxt = materialize(spark, _small_star(materialize(spark, _large_star(now), "components")), "components")
-        # a star forest: no node has two links, no centre is itself a leaf
-        state = nxt.agg(F.count("*").alias("n"), F.countDistinct("a").alias("leaves")).first()
-        if state.n == state.leaves and not nxt.join(nxt.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
-            return nxt.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(nxt.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        now = nxt
+    with Scratch(spark, "components") as scratch:
+        now = scratch.table(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct())
+        for _ in range(most_rounds):
+            nxt = scratch.table(_small_star(scratch, scratch.table(_large_star(scratch, now))))
+            # a star forest: no node has two links, no centre is itself a leaf
+            state = nxt.agg(F.count("*").alias("n"), F.countDistinct("a").alias("leaves")).first()
+            if state.n == state.leaves and not nxt.join(nxt.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
+                found = nxt.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(nxt.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+                return materialize(spark, found, "components")
+            now = nxt
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

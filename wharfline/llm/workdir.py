@@ -1,22 +1,13 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one is set only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="wharfline-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from wharfline.shared import remove, shared_dir
 
 
 @contextmanager
@@ -33,11 +24,39 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
 
 def materialize(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(spark, name)
+    return _written(spark, df, shared_dir(spark, name), **options)
+
+
+def _written(spark: SparkSession, df: DataFrame, path: str, **options: str) -> DataFrame:
     with freed_shuffles(spark):
         df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that go when the block ends; what the block returns must have been written elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count = spark, shared_dir(spark, name), 0
+
+    def table(self, df: DataFrame, **options: str) -> DataFrame:
+        self.count += 1
+        return _written(self.spark, df, f"{self.path}/{self.count}", **options)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.path)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
