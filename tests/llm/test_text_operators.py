@@ -1,5 +1,6 @@
 """Secrets, packing, token files, quality: against brute force and round trips."""
 
+import random
 import zlib
 
 import numpy as np
@@ -17,14 +18,38 @@ def sf_texts(spark):
     return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
 
 
-@pytest.mark.parametrize(("kind", "file"), [(ByteLevelEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")])
-@pytest.mark.parametrize("limit", [0, 1000, 500_000])
-def test_ids_are_those_of_the_library(spark, kind, file, limit):
-    coder, plain = kind(vocabulary_path(file), limit), Tokenizer.from_file(vocabulary_path(file))
-    for text in TEXTS + sf_texts(spark)[: 40 if limit < 10_000 else 200]:
+CODERS = [(ByteLevelEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")]
+
+
+@pytest.mark.parametrize(("kind", "file"), CODERS)
+def test_ids_are_those_of_the_library(spark, kind, file):
+    coder, plain = kind(vocabulary_path(file)), Tokenizer.from_file(vocabulary_path(file))
+    for text in TEXTS + sf_texts(spark):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+@pytest.mark.parametrize(("kind", "file"), CODERS)
+def test_ids_of_random_strings(kind, file):
+    """Added tokens, runs of white space, control characters, marks, scripts; most take the fast way."""
+    coder, plain, rng = kind(vocabulary_path(file)), Tokenizer.from_file(vocabulary_path(file)), random.Random(5)
+    steady = [chr(c) for c in range(0x3100) if not coder._other.search(chr(c))] + list("一龥가힣中文한")
+    parts = [*"aAbZ019 \n\t\r.,!?'\"-_%#$\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000\x00\x01µªº²½×÷İſéßñœŒ\u0301\u1100漢ДѐжЩ—“”…€", "'s", "'re", " the", "<|endoftext|>", "<|startoftext|>", "<|end"]
+    fast = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts if rng.random() < 0.6 else steady) for _ in range(rng.randint(0, 14)))
+        fast += not coder._other.search(text)
+        assert coder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert fast > 10_000
+
+
+def test_ends_of_sentences():
+    coder = ByteLevelEncoder(vocabulary_path("byte_bpe_50k.json"))
+    text = "One. Two 3.5!\nFour? end"
+    ids, ends = coder.encode_with_ends(text)
+    ids = np.frombuffer(ids, "<u4").tolist()
+    assert [coder.tokenizer.decode(ids[:n]) for n in ends] == ["One.", "One. Two 3.5!", "One. Two 3.5!\n", "One. Two 3.5!\nFour?"]
+
+
 def check_packing(rows, texts, seq_len):
     plain = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
     docs, sequences = {}, {}
@@ -101,6 +126,13 @@ def test_packing_odd(odd, empty):
     assert packing.packing_digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("seq_len", [1, 2, 7, 16, 33])
+def test_short_sequences(documents, seq_len):
+    texts = {1: "a few words. And more of them!", 2: "", 3: "x" * 200, 4: None}
+    rows = packing.pack(documents(*texts.items()), seq_len).collect()
+    check_packing(rows, texts, seq_len)
+
+
 def test_token_files(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plain = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))

@@ -16,6 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from wharfline.llm.tokens import END_ID, ByteLevelEncoder, encoder, vocabulary_path
 from wharfline.llm.workdir import shuffle_partitions
 
-PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
+PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+SCHEMA = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 #: Penalties in tokens of padding.
 SENTENCE_PENALTY, INSIDE_PENALTY = 8, 48
 #: Cut points inside a document are at least about so many tokens apart.
@@ -44,6 +45,7 @@ def cut_points(doc_lengths: list[int], doc_ends: list[np.ndarray], seq_len: int,
     tokens the last counts. A stretch of over a quarter of a window without any gets grid points.
     """
     places, costs, base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
+    grain = max(1, min(grain, seq_len // 4))  # so that any two neighbouring places share a window
     grid = max(grain, seq_len // 8)
     for length, ends in zip(doc_lengths, doc_ends, strict=True):
         if length > grain:
@@ -166,9 +168,12 @@ class Packer:
         return pieces
 
 
-def _batches(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _batches(pieces: list[tuple], digests: bool) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([*SCHEMA, ("ids_crc32", pa.int64()) if digests else ("ids", pa.binary())])
     for at in range(0, len(pieces), 4096):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces[at: at + 4096], strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+        *columns, ids = zip(*pieces[at: at + 4096], strict=True)
+        columns.append(map(zlib.crc32, ids) if digests else ids)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def in_order(docs: DataFrame, *others: str, partitions: int | None = None) -> DataFrame:
@@ -178,10 +183,11 @@ def in_order(docs: DataFrame, *others: str, partitions: int | None = None) -> Da
     return rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
 
-def pack(docs: DataFrame, seq_len: int = 2048, vocabulary: str | None = None, partitions: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, seq_len: int = 2048, vocabulary: str | None = None, partitions: int | None = None, digests: bool = False) -> DataFrame:
     """Pieces of documents by sequence, with their ids as little-endian unsigned 32-bit integers.
 
     ``start`` counts the ids of the document before the piece, ``offset`` those of the sequence before it.
+    digests: ``ids_crc32``, the checksum of the ids, in place of them.
     """
     path = vocabulary or vocabulary_path("byte_bpe_50k.json")
     end = END_ID.to_bytes(4, "little")
@@ -192,12 +198,12 @@ def pack(docs: DataFrame, seq_len: int = 2048, vocabulary: str | None = None, pa
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, ends = coder.encode_with_ends(text.as_py())
-                yield from _batches(packer.add(doc_id, ids + end, ends))
-        yield from _batches(packer.flush(last=True))
+                yield from _batches(packer.add(doc_id, ids + end, ends), digests)
+        yield from _batches(packer.flush(last=True), digests)
 
-    return in_order(docs, partitions=partitions).mapInArrow(run, PIECES)
+    return in_order(docs, partitions=partitions).mapInArrow(run, PIECES + (", ids_crc32 bigint" if digests else ", ids binary"))
 
 
 def packing_digests(docs: DataFrame, seq_len: int = 2048) -> DataFrame:
     """One row for each piece, its ids as a checksum."""
-    return pack(docs, seq_len).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, seq_len, digests=True).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
