@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from wharfline.llm.packing import in_order
 from wharfline.llm.tokens import END_ID, WordEncoder, encoder, vocabulary_path
-from wharfline.llm.workdir import shared_dir
+from wharfline.shared import shared_dir
 
 #: Options of the Parquet writer.
 LAYOUT = {
@@ -34,7 +34,8 @@ LAYOUT = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
-ROWS_A_BATCH = 512
+#: Documents of a batch that goes back to Spark, and tokens after which it ends.
+ROWS_A_BATCH, TOKENS_A_BATCH = 512, 1 << 20
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, partitions: int | None = None, metadata: tuple[str, ...] = ()) -> DataFrame:
@@ -47,16 +48,24 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, partitions:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, before = encoder(WordEncoder, path), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_A_BATCH):
-                batch = whole.slice(at, ROWS_A_BATCH)
-                ids = [coder.encode(x.as_py()) + end for x in batch.column(1)]
-                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                ends = np.cumsum(counts)
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.full(len(ids), part, np.int32)), pa.array(ends - counts + before), pa.array(counts), lists], names=out.names)
-                before += int(ends[-1])
+
+        def made(batch: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
+            nonlocal before
+            counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            ends = np.cumsum(counts)
+            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), flat)
+            starts, before = ends - counts + before, before + int(ends[-1])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(counts), lists], names=out.names)
+
+        for batch in batches:
+            ids, at, held = [], 0, 0
+            for n, text in enumerate(batch.column(1), 1):
+                ids.append(coder.encode(text.as_py()) + end)
+                held += len(ids[-1]) // 4
+                if held >= TOKENS_A_BATCH or n - at >= ROWS_A_BATCH or n == batch.num_rows:
+                    yield made(batch.slice(at, n - at), ids)
+                    ids, at, held = [], n, 0
 
     return rows.mapInArrow(run, out)
 
