@@ -1,6 +1,9 @@
 """Secrets, packing, token files, quality: against brute force and round trips."""
 
 import random
+import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -211,9 +214,6 @@ def test_labels_of_the_held_out_fold_are_unused(spark):
 
 def test_secrets_behind_words(documents):
     """Readable words in a run don't hide its random part; known shapes stay out."""
-    import random
-    import string
-
     rng = random.Random(3)
     secret = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     texts = ["/services/configuration/production/credentials/" + secret(string.ascii_letters + string.digits, n) for n in (20, 24, 32)]
@@ -221,3 +221,71 @@ def test_secrets_behind_words(documents):
     fine = ["/services/configuration/production/credentials/latest/version", "internationalization", "/services/configuration/production/550e8400-e29b-41d4-a716-446655440000"]
     got = {r.doc_id: r.n_random for r in secrets.secret_digests(documents(*enumerate(texts + fine))).collect()}
     assert [got[i] for i in range(len(got))] == [1] * len(texts) + [0] * len(fine)
+
+
+def brute_spans(text, scanner):
+    """All spans by their definitions, each compared with each."""
+    kinds = {0: r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1: "AKIA[A-Z0-9]+", 2: "[0-9a-f]+"}
+    base = [(m.start(), k, m.end()) for k, p in kinds.items() for m in re.finditer(p, text) if (len(m[2]) >= 6 if k == 0 else m.end() - m.start() >= (20, 24)[k - 1])]
+    allowed, runs, at = set(string.ascii_letters + string.digits + "+/_=-"), [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        if end - at >= 16:
+            runs.append((at, end))
+        at = end + 1
+    random_spans = []
+    for at, end in runs:
+        run = text[at:end]
+        if scanner.is_random(run):
+            random_spans.append((at, end))
+        elif not scanner.is_known(run):
+            parts = [(a, b) for a in range(len(run)) for b in range(a + 16, len(run) + 1) if run[a:b].isalnum() and (a == 0 or not run[a - 1].isalnum()) and (b == len(run) or not run[b].isalnum())]
+            known = [m.span() for m in secrets.UUID.finditer(run)] + [p for p in parts if scanner.is_known(run[slice(*p)])]
+            windows = [(a, a + 20) for a in [*range(0, len(run) - 20, 4), len(run) - 20] if len(run) > 20]
+            windows = [w for w in windows if all(b <= w[0] or w[1] <= a for a, b in known) and sum(c in "+/_=-" for c in run[slice(*w)]) <= 2]
+            spans = sorted(p for p in [*parts, *windows] if scanner.is_random(run[slice(*p)]))
+            merged = []
+            for a, b in spans:
+                if merged and a < merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                else:
+                    merged.append((a, b))
+            random_spans += [(at + a, at + b) for a, b in merged]
+    return sorted(base + [(a, 3, b) for a, b in random_spans if not any(s <= a and b <= e for s, _, e in base)])
+
+
+def test_secrets_against_brute_force(spark):
+    scanner = secrets.Scanner(*map(vocabulary_path, secrets.VOCABULARIES))
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(8)
+    made = ["".join(rng.choice(["/", "-", "_", "=", " ", "token=", "AKIA", "configuration", "550e8400-e29b-41d4-a716-446655440000", "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(3, 30))), "".join(rng.choices("0123456789abcdef", k=rng.choice([8, 24, 32, 40])))]) for _ in range(12)) for _ in range(150)]
+    docs = rows.select("doc_id", "text").union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    noisy = 0
+    for r in secrets.secret_digests(docs).collect():
+        want = brute_spans(texts[r.doc_id], scanner)
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert (r.n_assign, r.n_access, r.n_hex, r.n_random) == tuple(sum(k == i for _, k, _ in want) for i in range(4))
+        assert r.base_sha256 == secrets.sha256_of(want)
+        noisy += r.doc_id >= 0 and r.n_random > 0
+    assert noisy <= 0.005 * (len(texts) - len(made))
+
+
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits])
+def test_random_strings_are_found(letters):
+    scanner, rng = secrets.Scanner(*map(vocabulary_path, secrets.VOCABULARIES)), random.Random(9)
+    for n in (16, 20, 24, 32, 40):
+        found = [bool(scanner.scan(f"see {''.join(rng.choices(letters, k=n))} there")) for _ in range(300)]
+        assert sum(found) >= 0.9 * len(found), n
+
+
+def test_many_spans_take_linear_time():
+    scanner, rng = secrets.Scanner(*map(vocabulary_path, secrets.VOCABULARIES)), random.Random(10)
+    text = " ".join(f"token={''.join(rng.choices(string.ascii_letters, k=12))} {''.join(rng.choices(string.ascii_letters + string.digits, k=24))}" for _ in range(8000))
+    began = time.process_time()
+    scanner.scan(text)
+    once = time.process_time() - began
+    scanner.scan(" ".join([text] * 4))
+    assert time.process_time() - began - once < 9 * once + 1
