@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wharfline.functions.calendar import Calendar, is_excluded, next_available
 from wharfline.functions.text import parse_params, partition_key
 from wharfline.operators import graph, keyed
+from wharfline.operators.measures import content_fingerprint
 from wharfline.streaming import requests, states
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC)
@@ -103,6 +104,64 @@ def test_cycles(spark):
     assert graph.has_cycle(nodes, edges)
 
 
+def test_deep_graph(spark):
+    """A chain is no cycle, however deep."""
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(13)], "task_id string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 13)], "task_id string, depends_on string")
+    levels, rest = graph.topo_levels(nodes, edges)
+    assert {r.task_id: r.level for r in levels.collect()} == {f"n{i}": i for i in range(13)} and rest.isEmpty()
+
+
+def test_overlapping_starts(spark, tmp_path):
+    """The stream finds the timeouts that the batch form finds, also of starts that overlap."""
+    rng = random.Random(7)
+    schema = "key string, ts timestamp, kind string"
+    rows = sorted((rng.choice("abc"), T0 + timedelta(seconds=rng.randrange(20_000)), rng.choice(["START", "START", "END"])) for _ in range(120))
+    rows.sort(key=lambda r: r[1])
+    source = str(tmp_path / "in")
+    for part in (rows[:40], rows[40:80], rows[80:], [("z", T0 + timedelta(seconds=90_000), "END")], [("z", T0 + timedelta(seconds=99_000), "END")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = states.stream_timeouts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), 20)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    want = states.timeouts(spark.createDataFrame(rows, schema), "key", "ts", 20, F.lit(T0 + timedelta(seconds=80_000)))
+    assert sorted((r.key, r.due_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted((r.key, int(r.due_at.timestamp() * 1000)) for r in want.collect())
+
+
+def test_requests_as_stream(spark, tmp_path):
+    """One micro-batch, in a session of another time zone."""
+    rows = [(k, ts, i) for k, ts, i, _ in events(9)]
+    df = spark.createDataFrame(rows, "dedup_key string, ts timestamp, request_id long")
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.session.timeZone": "Asia/Tokyo"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        stream = requests.stream_requests(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 600)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    got = {(r.dedup_key, r.request_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.dedup_key, r.request_id) for r in requests.dedup_requests(df, ["dedup_key"], "ts", "request_id", 600).collect()}
+
+
+def test_content_fingerprint(spark):
+    import zlib
+
+    texts = ["a", "b", "", "é", "a", None]
+    got = content_fingerprint(spark.createDataFrame([(t,) for t in texts], "text string"), "text").first()
+    sums = [zlib.crc32(t.encode()) for t in texts if t is not None]
+    xor = 0
+    for x in sums:
+        xor ^= x
+    assert (got.n, got.crc_sum, got.crc_xor) == (6, sum(sums), xor)
+
+
 def test_timeouts_as_stream(spark, tmp_path):
     at = lambda s: T0 + timedelta(seconds=s)
     schema = "key string, ts timestamp, kind string"

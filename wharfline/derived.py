@@ -46,7 +46,7 @@ DERIVED = {
         'S' || CAST(page_id % 3 AS STRING) AS source_system, TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL '1' MINUTE AS created_at, TIMESTAMP '2024-01-01 00:00:00' + page_id * INTERVAL '1' MINUTE AS updated_at, TIMESTAMP '2024-01-01 01:00:00' + page_id * INTERVAL '1' MINUTE AS expected_process_time,
         CAST(page_id % 5 AS INT) AS retry_count, page_id % 7 AS record_count, CASE WHEN page_id % 4 <> 0 THEN page_id END AS file_record_id FROM pages""",
     "members": """SELECT 'm' || CAST(c_custkey % 50 AS STRING) AS manifest_id, 'f' || CAST(c_custkey AS STRING) || '.csv' AS expected_file_name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 7 END AS expected_record_count,
-        CAST(NULL AS STRING) AS expected_checksum, c_custkey % 4 = 0 AND c_custkey < 180 AS required, c_custkey AS file_record_id, c_custkey % 2 = 0 AS open FROM customer WHERE c_custkey < 400 OR c_custkey % 10 = 0""",
+        CAST(NULL AS STRING) AS expected_checksum, c_custkey % 4 = 0 AND c_custkey < 180 AS required, c_custkey AS file_record_id, c_custkey % 2 = 0 AS open FROM customer""",
     "groups": "SELECT manifest_id, 'WAITING_FILES' AS status, max(CASE WHEN length(manifest_id) = 2 THEN TIMESTAMP '2023-12-31 00:00:00' ELSE TIMESTAMP '2025-01-01 00:00:00' END) AS deadline FROM members GROUP BY manifest_id",
     "nodes": "SELECT 'p' || CAST(p_partkey AS STRING) AS task_id, CASE WHEN p_partkey % 13 = 5 THEN 'FAILED' WHEN p_partkey % 13 = 7 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM part",
     "edges": """SELECT 'p' || CAST(p_partkey AS STRING) AS task_id, 'p' || CAST(CAST(floor(p_partkey / 4) AS BIGINT) AS STRING) AS depends_on, CASE p_partkey % 3 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'SKIP' ELSE 'IGNORE' END AS action, 0 AS ordinal FROM part WHERE p_partkey > 0
@@ -76,6 +76,7 @@ def with_derived(sql: str) -> str:
     need(sql)
     ctes = [f"{n} AS ({DERIVED[n]})" for n in order]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join([*ctes, body[5:]])
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return opening + ", ".join([*ctes, body[len(opening):]])
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body

@@ -1,21 +1,19 @@
-"""Dependency graphs as edge tables. One join for each level, written out so that plans stay short."""
+"""Dependency graphs as edge tables. One written table for each level, so that plans stay short."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wharfline.shared import remove, shared_dir
+
 
 def materialize(spark: SparkSession, df: DataFrame, name: str = "graph") -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="wharfline-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return _written(spark, df, shared_dir(spark, name))
+
+
+def _written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -26,23 +24,29 @@ def graph_snapshot(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.lit("EDGE").alias("kind"), F.col("depends_on").alias("a"), F.col("task_id").alias("b")))
 
 
-def topo_levels(nodes: DataFrame, edges: DataFrame, most_levels: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(levels, rest): each node's level, one above the highest it depends on, and the nodes in or behind cycles."""
+def topo_levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(levels, rest): each node's level, one above the highest it depends on, and the nodes in or behind cycles.
+
+    A node waits for as many upstreams as it has; a level's nodes take one off each node behind them, and what
+    waits for none is the next level. Levels are as many as the longest path, without a bound.
+    """
     spark = nodes.sparkSession
-    edges = materialize(spark, edges.select("task_id", "depends_on").distinct())
-    rest = materialize(spark, nodes.select("task_id").distinct())
-    done = None
-    for level in range(most_levels):
-        blocked = edges.select("task_id").distinct()
-        free = materialize(spark, rest.join(blocked, "task_id", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
-        rest = materialize(spark, rest.join(free, "task_id", "left_anti"))
-        edges = materialize(spark, edges.join(free.select(F.col("task_id").alias("depends_on")), "depends_on", "left_anti"))
-    if done is None:
-        done = rest.limit(0).withColumn("level", F.lit(0))
-    return done, rest
+    path = shared_dir(spark, "topo")
+    edges = _written(spark, edges.select("task_id", "depends_on").distinct(), f"{path}/edges")
+    waits = edges.groupBy("task_id").agg(F.count("*").alias("left"))
+    start = nodes.select("task_id").distinct().join(waits, "task_id", "left").select("task_id", F.coalesce("left", F.lit(0)).alias("left"))
+    state, done, level = _written(spark, start, f"{path}/0"), None, 0
+    while not (free := state.filter("left = 0")).isEmpty():
+        here = free.select("task_id", F.lit(level).alias("level"))
+        done = here if done is None else done.unionByName(here)
+        behind = edges.join(free.select(F.col("task_id").alias("depends_on")), "depends_on").groupBy("task_id").agg(F.count("*").alias("gone"))
+        level += 1
+        rest = state.filter("left > 0").join(behind, "task_id", "left").select("task_id", (F.col("left") - F.coalesce("gone", F.lit(0))).alias("left"))
+        state = _written(spark, rest, f"{path}/{level}")
+    levels = materialize(spark, start.limit(0).select("task_id", F.lit(0).alias("level")) if done is None else done)
+    stuck = materialize(spark, state.select("task_id"))
+    remove(spark, path)
+    return levels, stuck
 
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
@@ -59,7 +63,6 @@ def propagate(nodes: DataFrame, edges: DataFrame, results: DataFrame, fail_fast:
     """
     spark = nodes.sparkSession
     levels, rest = topo_levels(nodes, edges)
-    levels = materialize(spark, levels)
     top = levels.agg(F.max("level")).first()[0]
     results = results.select("task_id", F.col("status").alias("result"))
     known = None

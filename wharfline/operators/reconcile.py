@@ -10,10 +10,10 @@ from wharfline.operators.keyed import key_diff
 from wharfline.operators.measures import share
 
 
-def canonical(df: DataFrame, key: Column | str = "business_key") -> DataFrame:
-    """Rows as texts ``key,name,description``: names in upper case, cells trimmed, blank names dropped."""
+def canonical(df: DataFrame, key: Column | str = "business_key", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as texts ``key,name,description``: names in upper case, cells trimmed, blank names dropped; ``keep`` are columns that stay."""
     clean = lambda c: F.coalesce(jtrim(c), F.lit(""))
-    return df.filter(has_text("name")).select(F.concat_ws(",", clean(key), F.upper(clean("name")), clean("description")).alias("row"))
+    return df.filter(has_text("name")).select(*keep, F.concat_ws(",", clean(key), F.upper(clean("name")), clean("description")).alias("row"))
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
@@ -23,12 +23,13 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"))
 
 
-def ordered_md5(rows: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """MD5 of the sorted rows, a newline after each; for bounded inputs, more rows are an error."""
-    if rows.limit(most_rows + 1).count() > most_rows:
+def ordered_md5(rows: DataFrame, most_rows: int = 100_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """MD5 of the sorted rows, a newline after each, over all or for each value of ``by``; groups are bounded, larger ones are an error."""
+    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) > most_rows:
         raise ValueError(f"more than {most_rows} rows; use the fingerprint")
     lines = F.array_sort(F.collect_list("row"))
-    return rows.agg(F.md5(F.concat(F.array_join(lines, "\n"), F.when(F.count("*") > 0, "\n").otherwise("")).cast("binary")).alias("hash"))
+    return rows.groupBy(*by).agg(F.md5(F.concat(F.array_join(lines, "\n"), F.when(F.count("*") > 0, "\n").otherwise("")).cast("binary")).alias("hash"))
 
 
 def reconcile_counts(source: DataFrame, target: DataFrame, date: str) -> DataFrame:

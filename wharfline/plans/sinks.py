@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,31 +52,48 @@ def copy_batch(legacy: DataFrame, target: DataFrame, batch_date: str, as_of: Col
 
 
 def export_csv(df: DataFrame, path: str, quote_all: bool = False, plain: bool = False, compression: str | None = None) -> None:
-    """CSV with a header. plain: no quoting at all, as fixed-format consumers expect; one header line for each file set."""
+    """CSV with a header in each file. plain: no quoting at all, as consumers expect that split at each comma."""
     options = {"compression": compression} if compression else {}
     if plain:
         cells = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
-        header = df.sparkSession.createDataFrame([(",".join(df.columns),)], "value string")
-        header.unionByName(df.select(cells.alias("value"))).write.options(**options).text(path)
+        # one column, whose name is the header line, with a separator that no text holds
+        blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+        df.select(cells.alias(",".join(df.columns))).write.options(header=True, sep="\u0001", escapeQuotes=False, **blanks, **options).csv(path)
     else:
         df.write.options(header=True, nullValue="", emptyValue="", quoteAll=quote_all, **options).csv(path)
 
 
 def export_json(df: DataFrame, path: str, max_rows: int | None = 500_000, compression: str | None = None) -> None:
-    """JSON lines; more rows than allowed are an error before anything is written."""
+    """One JSON array of objects in each file; more rows than allowed are an error before anything is written."""
     rows = assert_max_rows(df, max_rows) if max_rows is not None else df
-    rows.write.options(**({"compression": compression} if compression else {})).json(path)
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            if batch.num_rows:
+                lines = [mark + batch.column(0)[0].as_py(), *("," + x.as_py() for x in batch.column(0)[1:])]
+                mark = ","
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    objects = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    objects.mapInArrow(arrays, "value string").write.options(**({"compression": compression} if compression else {})).text(path)
 
 
 def export_name(batch_date: Column | str, extension: str) -> Column:
     return F.concat(F.lit("file_export_"), F.col(batch_date) if isinstance(batch_date, str) else batch_date, F.lit(f".{extension}"))
 
 
-def dlq_rows(bad: DataFrame, job: str) -> DataFrame:
+def dlq_rows(bad: DataFrame, job: str, origin: tuple[str, ...] = ()) -> DataFrame:
     """Rejected rows as dead letters: parameters, error of 1000 characters at most, code, flags."""
     params = format_params(("businessKey", "business_key"), ("batchDate", "batch_date"), ("name", "name"), ("description", "description"))
-    return bad.select(F.lit(job).alias("job_name"), params.alias("params"), truncate("error", 1000).alias("error_message"), F.lit("RECORD_WRITE_FAILED").alias("error_code"), F.lit(True).alias("retryable"), F.lit(False).alias("manual_required"), F.lit(False).alias("handled"), F.lit(0).alias("replay_count"))
+    return bad.select(*origin, F.lit(job).alias("job_name"), params.alias("params"), truncate("error", 1000).alias("error_message"), F.lit("RECORD_WRITE_FAILED").alias("error_code"), F.lit(True).alias("retryable"), F.lit(False).alias("manual_required"), F.lit(False).alias("handled"), F.lit(0).alias("replay_count"))
 
 
-def write_dlq(bad: DataFrame, path: str, job: str) -> None:
-    dlq_rows(bad, job).write.mode("append").parquet(path)
+def write_dlq(bad: DataFrame, path: str, job: str, origin: tuple[str, ...] = ()) -> None:
+    """Append dead letters. origin: columns that say where a row comes from; rows of a known origin aren't written again."""
+    rows = dlq_rows(bad, job, origin)
+    if origin:
+        known = read_partitioned(rows.sparkSession, path, rows.schema).select(*origin)
+        rows = rows.join(known, list(origin), "left_anti")
+    rows.write.mode("append").parquet(path)

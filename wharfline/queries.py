@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +15,7 @@ from wharfline.functions import status as st
 from wharfline.functions import text as tx
 from wharfline.operators import alerts, filters, graph, intake, keyed, measures, reconcile, replay
 from wharfline.plans import jobs, sinks
+from wharfline.shared import shared_dir
 from wharfline.sources import documents, tables, text
 from wharfline.streaming import intake as stream_intake
 from wharfline.streaming import requests, states
@@ -36,11 +35,7 @@ class Given:
         return frame(self.spark, self.sf_dir, name)
 
     def folder(self, name: str) -> str:
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="wharfline-")
-            self.spark.sparkContext.setCheckpointDir(base)
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        return shared_dir(self.spark, name)
 
 
 def add(name: str, build: Callable[[Given], DataFrame], sql: str | None = None) -> None:
@@ -186,6 +181,7 @@ add("F5_shard_document", lambda t: text.shard(t("raw").withColumn("ordinal", F.c
 # ---------------------------------------------------------------- sinks
 
 NEW = "SELECT id, business_key, batch_date FROM records WHERE id % 97 = 0"
+renamed = lambda t, n: t("records").withColumn("business_key", F.when(F.col("id") % n == 0, F.concat("business_key", F.lit("x"))).otherwise(F.col("business_key")))
 
 
 def merged(t: Given) -> DataFrame:
@@ -200,8 +196,8 @@ add("K1_merge_insert_new", lambda t: keyed.merge_insert_new(t("target"), t("reco
 add("K1_merge_twice", merged, "SELECT id, business_key, batch_date FROM records")
 add(
     "K2_merge_upsert",
-    lambda t: keyed.merge_upsert(t("target").select("business_key", "id", "description"), t("records").filter("id % 2 = 0").select("business_key", (F.col("id") + 1000).alias("id"), F.lit("new").alias("description")), ["business_key"], ["description"]),
-    "SELECT r.business_key, CASE WHEN r.id % 97 <> 0 THEN r.id ELSE r.id + 1000 END AS id, CASE WHEN r.id % 2 = 0 THEN 'new' ELSE r.description END AS description FROM records r WHERE r.id % 97 <> 0 OR r.id % 2 = 0",
+    lambda t: keyed.merge_upsert(t("target").select("business_key", "id", "description"), renamed(t, 2).select("business_key", (F.col("id") + 1000).alias("id"), F.lit("new").alias("description")), ["business_key"], ["description"]),
+    "SELECT business_key, id, CASE WHEN id % 2 <> 0 THEN 'new' ELSE description END AS description FROM records WHERE id % 97 <> 0 UNION ALL SELECT CASE WHEN id % 2 = 0 THEN business_key || 'x' ELSE business_key END, id + 1000, 'new' FROM records WHERE id % 97 = 0 OR id % 2 = 0",
 )
 add("K3_copy_batch", lambda t: sinks.copy_batch(t("records").drop("partition_key"), t("target"), "1997-05-01", at(ORDERS_NOW)).select("id", "partition_key"), "SELECT id, partition_key FROM records WHERE batch_date = '1997-05-01' AND id % 97 = 0")
 
@@ -214,17 +210,29 @@ def csv_back(t: Given, **options) -> DataFrame:
 
 EXPORTED = "SELECT id, business_key, name, CASE WHEN id % 7 <> 0 THEN description END AS description, batch_date FROM records"
 add("K4_export_csv", csv_back, EXPORTED)
+
+
+def plain_back(t: Given) -> DataFrame:
+    """Written without quotes and read by the reader of delimited lines."""
+    path = t.folder("plain")
+    sinks.export_csv(t("records").select("id", F.concat("name", F.lit('"')).alias("name"), F.when(F.col("id") % 7 != 0, F.col("description")).alias("description")), path, plain=True)
+    return text.read_delimited(t.spark, path).good.select("id", "name", "description")
+
+
+add("K4_export_plain", plain_back, "SELECT id, name || '\"' AS name, CASE WHEN id % 7 <> 0 THEN description ELSE '' END AS description FROM records")
 add("K5_export_csv_quoted", lambda t: csv_back(t, quote_all=True).withColumn("description", F.nullif("description", F.lit(""))), EXPORTED)
 add("K7_export_compressed", lambda t: csv_back(t, compression="gzip"), EXPORTED)
 
 
 def json_back(t: Given) -> DataFrame:
     path = t.folder("json")
-    sinks.export_json(t("records").select("id", "name", "batch_date"), path, None)
-    return t.spark.read.schema("id bigint, name string, batch_date string").json(path).withColumn("file", sinks.export_name("batch_date", "json"))
+    rows = t("records").select("id", "name", F.when(F.col("id") % 7 != 0, F.col("description")).alias("description"))
+    sinks.export_json(rows, path, None)
+    return documents.read_json_array(t.spark, path).select("id", "name", "description")
 
 
-add("K6_export_json", json_back, "SELECT id, name, batch_date, 'file_export_' || batch_date || '.json' AS file FROM records")
+add("K6_export_json", json_back, "SELECT id, name, CASE WHEN id % 7 <> 0 THEN description END AS description FROM records")
+add("K6_export_name", lambda t: t("records").select("id", sinks.export_name("batch_date", "json").alias("file")), "SELECT id, 'file_export_' || batch_date || '.json' AS file FROM records")
 add(
     "K8_dlq_rows",
     lambda t: sinks.dlq_rows(t("records").withColumn("error", F.repeat("name", 60)).withColumn("description", F.concat(F.lit("a=b&"), F.col("description"))), "import").select("params", "error_message", "retryable"),
@@ -266,7 +274,7 @@ add("P10_business_key", lambda t: t("raw").select("id", tx.business_key("batch_d
 DATES = "SELECT id, CASE id % 5 WHEN 0 THEN batch_date WHEN 1 THEN replace(batch_date, '-', '/') WHEN 2 THEN replace(batch_date, '-', '') WHEN 3 THEN replace(substr(batch_date, 1, 7), '-', '_') ELSE ' ' END AS d, batch_date FROM raw"
 dates = lambda t: t("raw").select("id", F.when(F.col("id") % 5 == 0, F.col("batch_date")).when(F.col("id") % 5 == 1, F.replace("batch_date", F.lit("-"), F.lit("/"))).when(F.col("id") % 5 == 2, F.replace("batch_date", F.lit("-"), F.lit(""))).when(F.col("id") % 5 == 3, F.replace(F.substring("batch_date", 1, 7), F.lit("-"), F.lit("_"))).otherwise(" ").alias("d"))
 add("P11_partition_key", lambda t: dates(t).select("id", tx.partition_key("d", at(ORDERS_NOW)).alias("k")), f"SELECT id, CASE WHEN id % 5 = 4 THEN '2001_08' ELSE replace(substr(batch_date, 1, 7), '-', '_') END AS k FROM ({DATES}) AS x")
-add("P12_format_name", lambda t: t("documents").select("doc_id", tx.format_name(F.substring("text", 1, 180)).alias("name")), "SELECT doc_id, CASE WHEN length(s) > 100 THEN substr(s, 1, 97) || '...' ELSE s END AS name FROM (SELECT doc_id, upper(replace(regexp_replace(regexp_replace(substr(text, 1, 180), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '\\s+', ' ', 'g'), 'ß', 'SS')) AS s FROM documents) AS x")
+add("P12_format_name", lambda t: t("documents").select("doc_id", tx.format_name("text").alias("name")), "SELECT doc_id, CASE WHEN length(s) > 100 THEN substr(s, 1, 97) || '...' ELSE s END AS name FROM (SELECT doc_id, upper(replace(regexp_replace(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '\\s+', ' ', 'g'), 'ß', 'SS')) AS s FROM documents) AS x")
 add("P13_format_description", lambda t: t("documents").select("doc_id", tx.format_description("text").alias("description")), "SELECT doc_id, CASE WHEN length(s) > 500 THEN substr(s, 1, 497) || '...' ELSE s END AS description FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g') AS s FROM documents) AS x")
 add("P14_format_batch_date", lambda t: t("raw").select("id", tx.format_batch_date(F.when(F.col("id") % 3 == 0, F.col("batch_date")).when(F.col("id") % 3 == 1, F.concat("batch_date", F.lit("T10:15:30"))).otherwise(F.concat("batch_date", F.lit("x")))).alias("d")), "SELECT id, CASE WHEN id % 3 < 2 THEN batch_date ELSE batch_date || 'x' END AS d FROM raw")
 add("P15_batch_date_d", lambda t: dates(t).select("id", tx.batch_date_d("d").cast("string").alias("d")), f"SELECT id, CASE WHEN id % 5 = 0 THEN batch_date END AS d FROM ({DATES}) AS x")
@@ -331,19 +339,19 @@ add("F24_where_eq", lambda t: filters.where_eq(t("dispatches"), target_system="S
 
 # ---------------------------------------------------------------- joins
 
-add("J1_lookup_ids", lambda t: keyed.lookup_ids(t("records").select("business_key").filter("id % 5 = 0"), t("target")), "SELECT business_key, id FROM records WHERE id % 5 = 0 AND id % 97 <> 0")
-add("J2_source_only", lambda t: keyed.key_diff(t("records"), t("target").filter("id % 3 <> 0")).filter("diff_type = 'SOURCE_ONLY'"), "SELECT business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE id % 97 = 0 OR id % 3 = 0")
-add("J3_target_only", lambda t: keyed.key_diff(t("records").filter("id % 5 <> 0"), t("target")).filter("diff_type = 'TARGET_ONLY'"), "SELECT business_key, 'TARGET_ONLY' AS diff_type FROM records WHERE id % 97 <> 0 AND id % 5 = 0")
+add("J1_lookup_ids", lambda t: keyed.lookup_ids(renamed(t, 5).select("business_key"), t("target")), "SELECT business_key, id FROM records WHERE id % 5 <> 0 AND id % 97 <> 0")
+add("J2_source_only", lambda t: keyed.key_diff(renamed(t, 3), t("target")).filter("diff_type = 'SOURCE_ONLY'"), "SELECT CASE WHEN id % 3 = 0 THEN business_key || 'x' ELSE business_key END AS business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE id % 97 = 0 OR id % 3 = 0")
+add("J3_target_only", lambda t: keyed.key_diff(renamed(t, 5), t("target")).filter("diff_type = 'TARGET_ONLY'"), "SELECT business_key, 'TARGET_ONLY' AS diff_type FROM records WHERE id % 97 <> 0 AND id % 5 = 0")
 LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC, id DESC) AS n FROM instances WHERE biz_date = '2024-01-10') AS x WHERE n = 1"
 asked = lambda t: t("events").select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("task_id")).distinct()
 add("J4_subset_candidates", lambda t: keyed.replay_candidates(t("instances"), "2024-01-10", "SUBSET", asked(t)).select("task_id", "id", "status"), f"SELECT a.task_id, l.id, l.status FROM (SELECT DISTINCT task_id FROM instances) AS a LEFT JOIN ({LATEST}) AS l ON l.task_id = a.task_id")
-entries = lambda t: t("audits").filter("id % 3 = 0").select(F.col("run_key").alias("session_id"), "task_id", "batch_date", F.lit("").alias("rerun_id"), F.lit("RUNNING").alias("status"))
-ENTRY = "SELECT a.run_key AS session_id, a.task_id, a.batch_date, CASE WHEN s.status = 'SUCCESS' THEN 'SUCCEEDED' WHEN s.status = 'SKIPPED' THEN 'SKIPPED' WHEN s.status IN ('FAILED', 'PARTIAL') THEN 'FAILED' ELSE 'RUNNING' END AS status FROM audits a LEFT JOIN states s ON s.task_id = a.task_id AND s.batch_date = a.batch_date WHERE a.id % 3 = 0"
+entries = lambda t: t("audits").select(F.col("run_key").alias("session_id"), "task_id", "batch_date", F.lit("").alias("rerun_id"), F.lit("RUNNING").alias("status"))
+ENTRY = "SELECT a.run_key AS session_id, a.task_id, a.batch_date, CASE WHEN s.status = 'SUCCESS' THEN 'SUCCEEDED' WHEN s.status = 'SKIPPED' THEN 'SKIPPED' WHEN s.status IN ('FAILED', 'PARTIAL') THEN 'FAILED' ELSE 'RUNNING' END AS status FROM audits a LEFT JOIN states s ON s.task_id = a.task_id AND s.batch_date = a.batch_date"
 add("J5_replay_entries", lambda t: replay.replay_entries(entries(t), t("states")).select("session_id", "task_id", "batch_date", "status"), ENTRY)
 policies = lambda t: t("files").select("file_direction").distinct().select("file_direction", F.when(F.col("file_direction") == "INBOUND", 1).otherwise(2).alias("retention_days"))
 add(
     "J6_archivable_files",
-    lambda t: intake.archivable_files(t("files"), policies(t), t("dispatches").filter("id % 3 = 0"), t("queue"), t("members"), at("2024-01-06")).select("id"),
+    lambda t: intake.archivable_files(t("files"), policies(t), t("dispatches").withColumn("dispatch_status", F.when(F.col("id") % 3 == 0, F.col("dispatch_status")).otherwise("DISPATCHED")), t("queue"), t("members"), at("2024-01-06")).select("id"),
     "SELECT id FROM files WHERE status IN ('PROCESSED', 'DISPATCHED') AND processed_at < CASE WHEN file_direction = 'INBOUND' THEN TIMESTAMP '2024-01-05' ELSE TIMESTAMP '2024-01-04' END AND id NOT IN (SELECT file_record_id FROM dispatches WHERE id % 3 = 0 AND dispatch_status IN ('PENDING', 'DISPATCHING', 'RETRY')) AND id NOT IN (SELECT file_record_id FROM queue WHERE status IN ('RECEIVED', 'WAITING', 'PROCESSING') AND file_record_id IS NOT NULL) AND id NOT IN (SELECT file_record_id FROM members WHERE open)",
 )
 BOUND = "SELECT m.manifest_id, m.expected_file_name, m.expected_record_count, m.required, q.id AS actual_queue_id, q.record_count AS actual_record_count FROM members m LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY created_at, id) AS n FROM queue) AS y WHERE n = 1) AS q ON q.file_name = m.expected_file_name"
@@ -356,7 +364,7 @@ KEY = "CUSTOMER#000000012:1997-05-01"
 def traced(t: Given) -> DataFrame:
     r = t("records").select("business_key", "created_at", "id", F.col("description").alias("detail"))
     d = t("dlq").select(F.lit(None).cast("string").alias("business_key"), "created_at", "id", F.col("params").alias("detail"))
-    return intake.trace_key({"TRACE": r, "IMPORT": r.filter("id % 97 <> 0"), "DLQ": d}, "CUSTOMER#000000012").unionByName(intake.trace_key({"IMPORT": r}, KEY)).select("kind", "id", "detail")
+    return intake.trace_key({"TRACE": r, "IMPORT": t("target").select(*r.columns[:3], F.col("description").alias("detail")), "DLQ": d}, "CUSTOMER#000000012").unionByName(intake.trace_key({"IMPORT": r}, KEY)).select("kind", "id", "detail")
 
 
 add("J9_trace_key", traced, f"SELECT 'DLQ' AS kind, id, params AS detail FROM (SELECT * FROM dlq WHERE contains(params, 'CUSTOMER#000000012') ORDER BY created_at DESC, id DESC LIMIT 50) AS d UNION ALL SELECT 'IMPORT', id, description FROM records WHERE business_key = '{KEY}'")
@@ -371,7 +379,7 @@ add(
     FROM (SELECT task_id, batch_date, CAST(substr(task_id, 2) AS BIGINT) AS u, CASE WHEN task_id LIKE '%5' THEN 6000 ELSE 100 END AS waited FROM states) AS w
     LEFT JOIN states s ON s.task_id = 't' || CAST(CAST(floor(w.u / 2) AS BIGINT) AS STRING) AND CAST(s.batch_date AS DATE) = CAST(w.batch_date AS DATE) - CASE WHEN w.u % 2 = 0 THEN INTERVAL '1' DAY ELSE INTERVAL '0' DAY END""",
 )
-add("J14_insert_where_absent", lambda t: keyed.insert_where_absent(t("target"), t("records").filter("id % 2 = 1"), ["business_key"]).select("id"), "SELECT id FROM records WHERE id % 97 <> 0 OR id % 2 = 1")
+add("J14_insert_where_absent", lambda t: keyed.insert_where_absent(t("target"), renamed(t, 2), ["business_key"]).select("id"), "SELECT id FROM records WHERE id % 97 <> 0 UNION ALL SELECT id FROM records WHERE id % 97 = 0 OR id % 2 = 0")
 
 # ---------------------------------------------------------------- measures
 
@@ -395,10 +403,10 @@ add("A13_rollup_dag", lambda t: measures.rollup_dag(t("audits").withColumn("run_
 add("A14_coverage", lambda t: measures.coverage(t("queue")).withColumn("coverage", F.round("coverage", 9)), "SELECT count(*) AS total, count(file_record_id) AS linked, round(count(file_record_id) * 100.0 / count(*), 9) AS coverage, count(file_record_id) = count(*) AS ready FROM queue")
 add("A15_export_stats", lambda t: jobs.export_summary(marked(t)).withColumn("success_rate", F.round("success_rate", 9)), "SELECT count(*) AS processed, count(*) FILTER (WHERE id % 6 < 2) AS filtered, CAST(0 AS BIGINT) AS errors, count(*) FILTER (WHERE id % 6 > 1) AS transformed, round(count(*) FILTER (WHERE id % 6 > 1) * 100.0 / count(*), 9) AS success_rate FROM records")
 add("A16_content_fingerprint", lambda t: measures.content_fingerprint(t("documents"), "text"))
-add("A17_ordered_md5", lambda t: reconcile.ordered_md5(reconcile.canonical(t("records")), 10_000_000), "SELECT md5(string_agg(business_key || ',' || name || ',' || description, chr(10) ORDER BY business_key || ',' || name || ',' || description) || chr(10)) AS hash FROM records")
+add("A17_ordered_md5", lambda t: reconcile.ordered_md5(reconcile.canonical(t("records"), keep=("batch_date",)), by=("batch_date",)), "SELECT batch_date, md5(string_agg(business_key || ',' || name || ',' || description, chr(10) ORDER BY business_key || ',' || name || ',' || description) || chr(10)) AS hash FROM records GROUP BY batch_date")
 add("A18_verify_counts", lambda t: measures.verify_counts({"records": t("records"), "raw": t("raw")}, "1997-05-01"), "SELECT 'records' AS name, count(*) AS n FROM records WHERE batch_date = '1997-05-01' UNION ALL SELECT 'raw', count(*) FROM raw WHERE batch_date = '1997-05-01'")
 add("A20_pending_count", lambda t: measures.pending_count(t("files"), 24, at(FILES_NOW)), "SELECT count(*) AS pending FROM files WHERE status IN ('ARRIVED', 'READY') AND arrived_at < TIMESTAMP '2024-01-01 12:00:00'")
-add("A21_params_to_map", lambda t: measures.params_to_map(t("lineitem").select(F.col("l_orderkey").alias("task_id"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_returnflag").alias("value")).dropDuplicates(["task_id", "name"]).groupBy("task_id", "name").agg(F.max("value").alias("value"))).select("task_id", "text", F.size("params").alias("n")))
+add("A21_params_to_map", lambda t: measures.params_to_map(t("lineitem").select(F.col("l_orderkey").alias("task_id"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_returnflag").alias("value")).groupBy("task_id", "name").agg(F.max("value").alias("value"))).select("task_id", "text", F.size("params").alias("n")), "SELECT task_id, string_agg(name || '=' || value, '&' ORDER BY name) AS text, CAST(count(*) AS INT) AS n FROM (SELECT l_orderkey AS task_id, 'p' || CAST(l_linenumber AS STRING) AS name, max(l_returnflag) AS value FROM lineitem GROUP BY 1, 2) AS p GROUP BY task_id")
 add("A22_dlq_counts", lambda t: measures.dlq_counts(t("dlq")), "SELECT compensation_status, count(*) FILTER (WHERE NOT handled) AS open, count(*) FILTER (WHERE NOT handled AND manual_required) AS manual FROM dlq GROUP BY compensation_status")
 
 # ---------------------------------------------------------------- by key, order, sets
@@ -427,7 +435,7 @@ add("O3_page", lambda t: keyed.page(t("files"), [F.desc("created_at"), F.desc("i
 add("O3_page_info", lambda t: keyed.page(t("files"), [F.desc("id")], 2, 20)[1], "SELECT 2 AS page, 20 AS size, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages, 3 < ceil(count(*) / 20.0) AS has_next FROM files")
 add("O4_priority_order", lambda t: keyed.number_rows(t("audits").withColumn("p", F.element_at(F.array(*map(F.lit, ("LOW", "critical", "NORMAL", "HIGH"))), (F.col("id") % 4 + 1).cast("int"))), ["run_key"], [F.desc(st.rank_of("p", st.PRIORITY, 5)), F.asc("created_at"), F.asc("id")]).select("id", "ordinal"), "SELECT id, CAST(row_number() OVER (PARTITION BY run_key ORDER BY CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 20 WHEN 2 THEN 5 ELSE 10 END DESC, created_at, id) AS INT) AS ordinal FROM audits")
 add("O5_ordered_dependencies", lambda t: keyed.number_rows(t("edges"), ["task_id"], ["ordinal", "depends_on"], "place").select("task_id", "depends_on", "place"), "SELECT task_id, depends_on, CAST(row_number() OVER (PARTITION BY task_id ORDER BY ordinal, depends_on) AS INT) AS place FROM edges")
-add("U1_key_diff", lambda t: keyed.key_diff(t("records").filter("id % 5 <> 0"), t("target")), "SELECT business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE id % 5 <> 0 AND id % 97 = 0 UNION ALL SELECT business_key, 'TARGET_ONLY' FROM records WHERE id % 5 = 0 AND id % 97 <> 0")
+add("U1_key_diff", lambda t: keyed.key_diff(renamed(t, 5), t("target")), "SELECT CASE WHEN id % 5 = 0 THEN business_key || 'x' ELSE business_key END AS business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE id % 5 = 0 OR id % 97 = 0 UNION ALL SELECT business_key, 'TARGET_ONLY' FROM records WHERE id % 5 = 0 AND id % 97 <> 0")
 add("U1_key_diff_sample", lambda t: keyed.key_diff(t("records"), t("target"), sample=20), "SELECT business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE id % 97 = 0 ORDER BY business_key LIMIT 20")
 
 # ---------------------------------------------------------------- reconcile, gates, manifests, alerts
@@ -435,7 +443,7 @@ add("U1_key_diff_sample", lambda t: keyed.key_diff(t("records"), t("target"), sa
 DAY = "1997-05-01"
 source_day = lambda t: t("raw").filter(F.col("batch_date") == DAY)
 add("R1_reconcile_counts", lambda t: reconcile.reconcile_counts(source_day(t), t("target"), DAY), f"SELECT a.n AS source_count, b.n AS target_count, CASE WHEN a.n = b.n THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN a.n = b.n THEN 'OK' ELSE 'source=' || CAST(a.n AS STRING) || ' target=' || CAST(b.n AS STRING) END AS message FROM (SELECT count(*) AS n FROM raw WHERE batch_date = '{DAY}') AS a, (SELECT count(*) AS n FROM target WHERE batch_date = '{DAY}') AS b")
-add("R2_reconcile_hash", lambda t: reconcile.reconcile_hash(t("records").filter(F.col("batch_date") == DAY), t("records").filter("id % 97 <> 1"), DAY, exact=True), f"SELECT a.h AS source_hash, b.h AS target_hash, CASE WHEN a.h = b.h THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT md5(string_agg(r, chr(10) ORDER BY r) || chr(10)) AS h FROM (SELECT business_key || ',' || name || ',' || description AS r FROM records WHERE batch_date = '{DAY}') AS x) AS a, (SELECT md5(string_agg(r, chr(10) ORDER BY r) || chr(10)) AS h FROM (SELECT business_key || ',' || name || ',' || description AS r FROM records WHERE batch_date = '{DAY}' AND id % 97 <> 1) AS x) AS b")
+add("R2_reconcile_hash", lambda t: reconcile.reconcile_hash(t("records").filter(F.col("batch_date") == DAY), t("target"), DAY, exact=True), f"SELECT a.h AS source_hash, b.h AS target_hash, CASE WHEN a.h = b.h THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT md5(string_agg(r, chr(10) ORDER BY r) || chr(10)) AS h FROM (SELECT business_key || ',' || name || ',' || description AS r FROM records WHERE batch_date = '{DAY}') AS x) AS a, (SELECT md5(string_agg(r, chr(10) ORDER BY r) || chr(10)) AS h FROM (SELECT business_key || ',' || name || ',' || description AS r FROM records WHERE batch_date = '{DAY}' AND id % 97 <> 0) AS x) AS b")
 add("R2_fingerprint", lambda t: reconcile.reconcile_hash(t("records").filter(F.col("batch_date") == DAY), t("records"), DAY).select("status"), "SELECT 'PASS' AS status")
 add("R3_reconcile", lambda t: reconcile.reconcile(t("records").filter(F.col("batch_date") == DAY), t("target"), DAY)[1], f"SELECT business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE batch_date = '{DAY}' AND id % 97 = 0")
 add("R3_reconcile_run", lambda t: reconcile.reconcile(t("records").filter(F.col("batch_date") == DAY), t("target"), DAY)[0].select("source_count", "target_count", "status"), f"SELECT count(*) AS source_count, count(*) FILTER (WHERE id % 97 <> 0) AS target_count, CASE WHEN count(*) FILTER (WHERE id % 97 = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM records WHERE batch_date = '{DAY}'")
@@ -457,10 +465,11 @@ add("G6_skip_limit", within_skip_limit, "SELECT count(*) AS n FROM raw")
 GROUPS = f"SELECT g.manifest_id, coalesce(b.arrived, 0) AS arrived, coalesce(b.lacking, 0) AS lacking, coalesce(b.failing, 0) AS failing, CASE WHEN b.lacking > 0 THEN CASE WHEN g.deadline < TIMESTAMP '2024-06-01' THEN 'EXPIRED' ELSE 'WAITING_FILES' END WHEN b.failing > 0 THEN 'FAILED' ELSE 'DISPATCHED' END AS status FROM groups g LEFT JOIN (SELECT manifest_id, count(actual_queue_id) AS arrived, count(*) FILTER (WHERE required AND actual_queue_id IS NULL) AS lacking, count(*) FILTER (WHERE actual_queue_id IS NOT NULL AND expected_record_count IS NOT NULL AND expected_record_count <> actual_record_count) AS failing FROM ({BOUND}) AS x GROUP BY manifest_id) AS b ON b.manifest_id = g.manifest_id"
 add("N1_evaluate_groups", lambda t: intake.evaluate_groups(t("groups"), t("members"), t("queue"), at("2024-06-01")), GROUPS)
 add("N2_reconcile_members", lambda t: intake.reconcile_members(intake.bind_arrivals(t("members"), t("queue"))).select("manifest_id", "expected_file_name", F.array_join("mismatches", ";").alias("mismatches"), "reconcile_status"), f"SELECT manifest_id, expected_file_name, CASE WHEN actual_queue_id IS NULL THEN 'file not arrived' WHEN expected_record_count <> actual_record_count THEN 'record count: expected=' || CAST(expected_record_count AS STRING) || ' actual=' || CAST(actual_record_count AS STRING) ELSE '' END AS mismatches, CASE WHEN actual_queue_id IS NULL OR coalesce(expected_record_count <> actual_record_count, false) THEN 'FAIL' ELSE 'PASS' END AS reconcile_status FROM ({BOUND}) AS b")
-add("N3_register_manifests", lambda t: intake.register_manifests(t("members"), t("groups").filter("length(manifest_id) = 2"), 24, at("2024-01-01")).select("manifest_id", "total_members", "required_members", ms("deadline").alias("deadline")), "SELECT manifest_id, count(*) AS total_members, count(*) FILTER (WHERE required) AS required_members, epoch_ms(TIMESTAMP '2024-01-02') AS deadline FROM members WHERE length(manifest_id) > 2 GROUP BY manifest_id")
-prints = lambda t: t("queue").filter("id % 5 <> 0").select(F.col("file_path").alias("path"), F.when(F.col("id") % 7 == 0, 1).otherwise(F.col("file_size")).cast("bigint").alias("length"), F.when(F.col("id") % 11 == 0, F.lit("x")).otherwise(F.upper("file_hash")).alias("file_hash"), "id")
-add("N4_verify_integrity", lambda t: intake.verify_integrity(t("queue").withColumn("file_path", F.col("id").cast("string")), prints(t).withColumn("path", F.col("id").cast("string")).drop("id")).select("id", "problem"), "SELECT id, CASE WHEN id % 5 = 0 THEN 'MISSING' WHEN id % 7 = 0 THEN 'SIZE' WHEN id % 11 = 0 THEN 'HASH' END AS problem FROM queue")
-add("N5_classify_arrivals", lambda t: intake.classify_arrivals(t("queue").filter("id % 3 = 0").withColumn("file_hash", F.when(F.col("id") % 2 == 0, F.lit("h")).otherwise(F.col("file_hash"))), t("queue").filter("id % 4 = 1").withColumn("file_hash", F.when(F.col("id") % 3 == 0, F.lit("h")).otherwise(F.col("file_hash")))).select("id", "kind"), "WITH new AS (SELECT id, file_name, source_system, CASE WHEN id % 2 = 0 THEN 'h' ELSE file_hash END AS file_hash FROM queue WHERE id % 3 = 0), known AS (SELECT id, file_name, source_system, CASE WHEN id % 3 = 0 THEN 'h' ELSE file_hash END AS file_hash FROM queue WHERE id % 4 = 1) SELECT n.id, CASE WHEN EXISTS (SELECT 1 FROM known k WHERE k.file_name = n.file_name AND k.file_hash = n.file_hash) THEN 'DUPLICATE' WHEN EXISTS (SELECT 1 FROM known k WHERE k.file_name = n.file_name) THEN 'CONFLICT' WHEN EXISTS (SELECT 1 FROM known k WHERE k.source_system = n.source_system AND k.file_hash = n.file_hash) THEN 'DUPLICATE_CONTENT' ELSE 'NEW' END AS kind FROM new n")
+add("N3_register_manifests", lambda t: intake.register_manifests(t("members"), t("groups").withColumn("manifest_id", F.when(F.length("manifest_id") == 2, F.col("manifest_id")).otherwise(F.concat(F.lit("old-"), "manifest_id"))), 24, at("2024-01-01")).select("manifest_id", "total_members", "required_members", ms("deadline").alias("deadline")), "SELECT manifest_id, count(*) AS total_members, count(*) FILTER (WHERE required) AS required_members, epoch_ms(TIMESTAMP '2024-01-02') AS deadline FROM members WHERE length(manifest_id) > 2 GROUP BY manifest_id")
+prints = lambda t: t("queue").select(F.when(F.col("id") % 5 != 0, F.col("file_path")).alias("path"), F.when(F.col("id") % 7 == 0, 1).otherwise(F.col("file_size")).cast("bigint").alias("length"), F.when(F.col("id") % 11 == 0, F.lit("x")).otherwise(F.upper("file_hash")).alias("file_hash"), "id")
+add("N4_verify_integrity", lambda t: intake.verify_integrity(t("queue").withColumn("file_path", F.col("id").cast("string")), prints(t).withColumn("path", F.when(F.col("path").isNotNull(), F.col("id").cast("string")).otherwise(F.concat(F.lit("other/"), F.col("id").cast("string")))).drop("id")).select("id", "problem"), "SELECT id, CASE WHEN id % 5 = 0 THEN 'MISSING' WHEN id % 7 = 0 THEN 'SIZE' WHEN id % 11 = 0 THEN 'HASH' END AS problem FROM queue")
+elsewhere = lambda c: F.when(F.col("id") % 4 == 1, F.col(c)).otherwise(F.concat(F.lit("other-"), c))
+add("N5_classify_arrivals", lambda t: intake.classify_arrivals(t("queue").withColumn("file_hash", F.when(F.col("id") % 2 == 0, F.lit("h")).otherwise(F.col("file_hash"))), t("queue").withColumns({"file_hash": F.when(F.col("id") % 3 == 0, F.lit("h")).otherwise(F.col("file_hash")), "file_name": elsewhere("file_name"), "source_system": elsewhere("source_system")})).select("id", "kind"), "WITH new AS (SELECT id, file_name, source_system, CASE WHEN id % 2 = 0 THEN 'h' ELSE file_hash END AS file_hash FROM queue), known AS (SELECT id, file_name, source_system, CASE WHEN id % 3 = 0 THEN 'h' ELSE file_hash END AS file_hash FROM queue WHERE id % 4 = 1) SELECT n.id, CASE WHEN EXISTS (SELECT 1 FROM known k WHERE k.file_name = n.file_name AND k.file_hash = n.file_hash) THEN 'DUPLICATE' WHEN EXISTS (SELECT 1 FROM known k WHERE k.file_name = n.file_name) THEN 'CONFLICT' WHEN EXISTS (SELECT 1 FROM known k WHERE k.source_system = n.source_system AND k.file_hash = n.file_hash) THEN 'DUPLICATE_CONTENT' ELSE 'NEW' END AS kind FROM new n")
 add("L1_batch_alerts", lambda t: alerts.evaluate_batch_alerts(t("scored"), t("dlq"), at("1998-01-02"), 60 * 1440, throughput=0.5).select("alert_code", "severity", F.round("value", 6).alias("value")), f"""SELECT * FROM (SELECT 'BATCH_FAILURE_RATE' AS alert_code, 'CRITICAL' AS severity, round(f / CAST(n AS DOUBLE), 6) AS value FROM (SELECT count(*) FILTER (WHERE status = 'FAILED') AS f, count(*) AS n FROM scored WHERE created_at BETWEEN TIMESTAMP '1998-01-02' - INTERVAL '60' DAY AND TIMESTAMP '1998-01-02') AS a WHERE n > 0 AND f >= 0.2 * n
     UNION ALL SELECT 'DLQ_BACKLOG', 'WARNING', CAST(count(*) AS DOUBLE) FROM dlq WHERE NOT handled HAVING count(*) >= 100 UNION ALL SELECT 'DLQ_MANUAL', 'CRITICAL', CAST(count(*) AS DOUBLE) FROM dlq WHERE NOT handled AND manual_required HAVING count(*) >= 20
     UNION ALL SELECT 'LOW_THROUGHPUT', 'WARNING', round(m, 6) FROM (SELECT {MEAN} AS m) AS q WHERE m > 0 AND m < 0.5) AS x""")
@@ -474,15 +483,29 @@ add("L6_sustained", lambda t: alerts.sustained(t("audits").withColumn("ts", F.da
 
 add("D1_graph_snapshot", lambda t: graph.graph_snapshot(t("nodes"), t("edges")), "SELECT 'NODE' AS kind, task_id AS a, CAST(NULL AS STRING) AS b FROM nodes UNION ALL SELECT 'EDGE', depends_on, task_id FROM edges")
 LEVELS = "WITH RECURSIVE walk(task_id, level) AS (SELECT 'p0', 0 UNION SELECT e.task_id, w.level + 1 FROM walk w JOIN edges e ON e.depends_on = w.task_id) SELECT task_id, CAST(max(level) AS INT) AS level FROM walk GROUP BY task_id"
-add("D2_topo_levels", lambda t: graph.topo_levels(t("nodes"), t("edges"))[0])
+add("D2_topo_levels", lambda t: graph.topo_levels(t("nodes"), t("edges"))[0], LEVELS)
+CYCLES = "WITH RECURSIVE links AS (SELECT task_id, depends_on FROM edges UNION ALL SELECT 'p1', 'p20'), up(task_id, above) AS (SELECT task_id, depends_on FROM links UNION SELECT u.task_id, l.depends_on FROM up u JOIN links l ON l.task_id = u.above) SELECT DISTINCT task_id FROM up WHERE above IN (SELECT task_id FROM up WHERE task_id = above)"
+
+
+def propagated(levels: int) -> str:
+    """The statuses of one level after the other; level n holds the tasks from 4 ** (n - 1) to 4 ** n."""
+    parts = ["WITH l0 AS (SELECT task_id, status FROM nodes WHERE task_id = 'p0')", "k0 AS (SELECT * FROM l0)"]
+    for n in range(1, levels):
+        bad = f"SELECT e.task_id, arg_min(e.action, e.ordinal) AS action FROM edges e JOIN k{n - 1} AS k ON k.task_id = e.depends_on WHERE k.status IN ('FAILED', 'PARTIAL') AND e.action <> 'IGNORE' GROUP BY e.task_id"
+        parts.append(f"l{n} AS (SELECT n.task_id, CASE b.action WHEN 'SKIP' THEN 'SKIPPED' WHEN 'FAIL' THEN 'FAILED' ELSE n.status END AS status FROM nodes n LEFT JOIN ({bad}) AS b ON b.task_id = n.task_id WHERE CAST(substr(n.task_id, 2) AS BIGINT) BETWEEN {4 ** (n - 1)} AND {4 ** n - 1})")
+        parts.append(f"k{n} AS (SELECT * FROM k{n - 1} UNION ALL SELECT * FROM l{n})")
+    return ", ".join(parts) + f" SELECT task_id, status FROM k{levels - 1}"
+
+
+PROPAGATED = propagated(12)
 cyclic = lambda t: t("edges").select("task_id", "depends_on").unionByName(t("nodes").filter("task_id = 'p1'").select(F.col("task_id"), F.lit("p20").alias("depends_on")))
-add("D3_cycle_nodes", lambda t: graph.topo_levels(t("nodes"), cyclic(t))[1])
-add("D4_propagate", lambda t: graph.propagate(t("nodes"), t("edges"), t("nodes")))
+add("D3_cycle_nodes", lambda t: graph.topo_levels(t("nodes"), cyclic(t))[1], CYCLES)
+add("D4_propagate", lambda t: graph.propagate(t("nodes"), t("edges"), t("nodes")), PROPAGATED)
 add("D5_reconcile_replay", lambda t: replay.reconcile_replay(entries(t), t("states")), f"SELECT *, CASE WHEN in_flight > 0 THEN 'RUNNING' WHEN failed > 0 THEN 'PARTIAL_FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN in_flight = 0 AND failed = 0 THEN 'SETTLED' ELSE 'SETTLING' END AS day_status FROM (SELECT session_id, count(*) FILTER (WHERE status IN ('SUCCEEDED', 'SKIPPED')) AS succeeded, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE status = 'RUNNING') AS in_flight FROM ({ENTRY}) AS e GROUP BY session_id) AS s")
 DUE = "NOT handled AND retryable AND NOT manual_required AND next_retry_at < TIMESTAMP '2001-08-01'"
 add("D6_replay_inserts", lambda t: replay.replay_dlq(t("dlq"), t("target"), at(ORDERS_NOW))[0].select("business_key", "batch_date", "name"), f"SELECT r.business_key, r.batch_date, r.name FROM dlq d JOIN records r ON r.id = d.id WHERE {DUE.replace('next_retry_at', 'd.next_retry_at')} AND d.id % 8 <> 0 AND d.id % 97 = 0")
 add("D6_replay_dlq", lambda t: replay.replay_dlq(t("dlq"), t("target"), at(ORDERS_NOW))[1].select("id", "handled", "replay_count", "manual_required", "compensation_status"), f"SELECT id, handled OR (due AND id % 8 <> 0) AS handled, replay_count + CAST(due AS INT) AS replay_count, manual_required OR (due AND id % 8 = 0 AND replay_count + 1 >= 5) AS manual_required, CASE WHEN due AND id % 8 <> 0 THEN 'SUCCESS' WHEN due AND replay_count + 1 >= 5 THEN 'MANUAL_REQUIRED' WHEN due THEN 'FAILED' ELSE compensation_status END AS compensation_status FROM (SELECT *, {DUE} AS due FROM dlq) AS d")
-outcomes = lambda t: t("dispatches").filter("id % 7 < 5").select("id", F.element_at(F.array(*map(F.lit, ("SENT", "SEND_FAILED", "ACK_OK", "ACK_REFUSED", "ACK_TIMEOUT"))), (F.col("id") % 7 + 1).cast("int")).alias("outcome"))
+outcomes = lambda t: t("dispatches").select("id", F.element_at(F.array(*map(F.lit, ("SENT", "SEND_FAILED", "ACK_OK", "ACK_REFUSED", "ACK_TIMEOUT", "NONE", "NONE"))), (F.col("id") % 7 + 1).cast("int")).alias("outcome"))
 add("D7_advance_dispatch", lambda t: replay.advance_dispatch(t("dispatches"), outcomes(t)).select("id", "attempt_count", "dispatch_status", "ack_status"), "SELECT id, CAST(attempt_count + b AS INT) AS attempt_count, CASE WHEN b = 1 THEN CASE WHEN attempt_count + 1 < max_attempts THEN 'RETRY' ELSE 'FAILED' END WHEN id % 7 = 0 THEN 'DISPATCHED' WHEN id % 7 = 2 THEN 'COMPLETED' ELSE dispatch_status END AS dispatch_status, CASE id % 7 WHEN 2 THEN 'ACKED' WHEN 3 THEN 'REJECTED' WHEN 4 THEN 'TIMEOUT' ELSE ack_status END AS ack_status FROM (SELECT *, CASE WHEN id % 7 IN (1, 3, 4) THEN 1 ELSE 0 END AS b FROM dispatches) AS d")
 
 
@@ -539,6 +562,26 @@ def imported(t: Given) -> DataFrame:
 
 
 add("T3_stream_import", imported, f"SELECT DISTINCT upper(name) || ':2024-01-01' AS business_key, '2024_01' AS partition_key FROM ({GOOD_LINES}) AS g WHERE name <> ''")
+
+
+def traced_import(t: Given) -> DataFrame:
+    """Traces of an import of which each micro-batch ran twice."""
+    out, directory = t.folder("imported"), line_files(t)
+    for _ in range(2):
+        stream_intake.import_batch(t.spark, documents.list_files(t.spark, directory).filter("length > 0").select(F.col("path").alias("file")), out, "2024-01-01")
+    return t.spark.read.parquet(f"{out}/trace").select("business_key", "event_type", "status")
+
+
+def dead_letters(t: Given) -> DataFrame:
+    """Dead letters of an import that was stopped and taken up again."""
+    out, directory = t.folder("imported"), line_files(t)
+    for _ in range(2):
+        stream_intake.stream_import(t.spark, directory, out, "2024-01-01").awaitTermination()
+    return t.spark.read.parquet(f"{out}/dlq").groupBy("error_message").agg(F.count("*").alias("n"))
+
+
+add("T3_import_trace", traced_import, f"SELECT DISTINCT upper(name) || ':2024-01-01' AS business_key, 'IMPORT' AS event_type, 'SUCCESS' AS status FROM ({GOOD_LINES}) AS g WHERE name <> ''")
+add("T8_restarted_import", dead_letters, f"SELECT error_message, count(*) AS n FROM (SELECT 'not a number: ' || id AS error_message FROM ({RAW_LINES}) AS l WHERE substr(id, 1, 1) = 'x' UNION ALL SELECT 'name missing' FROM ({GOOD_LINES}) AS g WHERE name = '') AS d GROUP BY error_message")
 add("T4_status_counts", lambda t: requests.stream_status_counts(t("audits"), "created_at", "1 hour").select(F.unix_seconds("window_start").alias("s"), "status", "n"), "SELECT CAST(floor(epoch(created_at) / 3600) * 3600 AS BIGINT) AS s, status, count(*) AS n FROM audits GROUP BY 1, 2")
 TIMED = "SELECT user_id, date_trunc('millisecond', ts) AS ts, CASE WHEN event_type IN ('view', 'signup') THEN 'START' ELSE 'END' END AS kind, event_id FROM events WHERE event_type <> 'click'"
 timed = lambda t: t("events").filter("event_type <> 'click'").select("user_id", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("event_type").isin("view", "signup"), "START").otherwise("END").alias("kind"))
@@ -552,8 +595,8 @@ add("T7_coalesce_events", lambda t: requests.coalesce_events(requests_of(t), "de
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, distinct keys and duplicates of an import by partition."""
     t = Given(spark, sf_dir)
-    parsed = text.Parsed(t("raw"), t("raw").limit(0))
-    job = jobs.import_records(text.Parsed(parsed.good.drop("batch_date", "created_at").withColumn("day", F.col("line_no")).join(t("raw").select("line_no", F.col("batch_date").alias("d")), "line_no"), parsed.bad), F.col("d"), at(ORDERS_NOW))
+    raw = t("raw").select("file", "line_no", "id", "name", "description", F.col("batch_date").alias("day"))
+    job = jobs.import_records(text.Parsed(raw, raw.limit(0)), F.col("day"), at(ORDERS_NOW))
     kept = job.records.groupBy("partition_key").agg(F.count("*").alias("loaded"))
     again = job.duplicates.groupBy("partition_key").agg(F.count("*").alias("duplicates"))
     return kept.join(again, "partition_key", "left").na.fill(0, ["duplicates"])

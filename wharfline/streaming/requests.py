@@ -33,21 +33,21 @@ def dedup_requests(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: i
 class _Accept(StatefulProcessor):
     """Keeps the last accepted bucket of a key."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", T.StructType([T.StructField("bucket", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
-        got = pd.concat(list(rows)).sort_values(["ts", "request_id"])
+        first: dict[int, tuple] = {}  # of each bucket, so that a key's requests needn't be held
+        for part in rows:
+            part = part.sort_values(["us", "request_id"]).drop_duplicates("bucket")
+            for bucket, us, request in zip(part["bucket"], part["us"], part["request_id"], strict=True):
+                first[bucket] = min(first.get(bucket, (us, request)), (us, request))
         out = []
-        for r in got.itertuples(index=False):
-            bucket = int(r.ts.timestamp() // self.seconds)
+        for bucket in sorted(first):
             if last is None or bucket not in (last, last + 1):
                 last = bucket
-                out.append((key[0], bucket, r.request_id))
+                out.append((key[0], bucket, first[bucket][1]))
         if last is not None:
             self.last.update((last,))
         yield pd.DataFrame(out, columns=["dedup_key", "bucket", "request_id"])
@@ -57,9 +57,13 @@ class _Accept(StatefulProcessor):
 
 
 def stream_requests(df: DataFrame, seconds: int) -> DataFrame:
-    """The same over a stream of dedup_key, ts and request_id: each micro-batch in order of time."""
+    """The same over a stream of dedup_key, ts and request_id: each micro-batch in order of time.
+
+    The state is one number for each key; it has no end, since a key may come back at any time.
+    """
+    df = df.select("dedup_key", bucket_of("ts", seconds).alias("bucket"), F.unix_micros("ts").alias("us"), "request_id")
     schema = T.StructType([T.StructField("dedup_key", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("request_id", T.LongType())])
-    return df.groupBy("dedup_key").transformWithStateInPandas(statefulProcessor=_Accept(seconds), outputStructType=schema, outputMode="Append", timeMode="None")
+    return df.groupBy("dedup_key").transformWithStateInPandas(statefulProcessor=_Accept(), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,39 +23,66 @@ def timeouts(df: DataFrame, key: str, ts: str, minutes: int, as_of, start: str =
     return rows.filter((F.col(kind) == start) & late).select(key, F.col(ts).alias("started_at"), due.alias("due_at"))
 
 
+def _in_order(rows: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    """The columns of a key's rows in a micro-batch as arrays, sorted by the first ones."""
+    parts = [[part[c].to_numpy() for c in columns] for part in rows]
+    whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.lexsort(whole[1::-1])
+    return [c[order] for c in whole]
+
+
+def _due(key: str, at: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series([key] * len(at), dtype=object), "due_ms": np.array(at, np.int64)})
+
+
 class _Timeout(StatefulProcessor):
-    """Waits for the end of a start with an event-time timer."""
+    """Waits for the end of each open start with an event-time timer."""
 
     def __init__(self, minutes: int):
         self.ms = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", T.StructType([T.StructField("ms", T.LongType())]))
+        self.open = handle.getListState("open", T.StructType([T.StructField("due", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for r in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
-            if self.due.exists():
-                self.handle.deleteTimer(self.due.get()[0])
-                self.due.clear()
-            if r.kind == "START":
-                at = int(r.ts.timestamp() * 1000) + self.ms
-                self.due.update((at,))
-                self.handle.registerTimer(at)
-        yield pd.DataFrame({"key": [], "due_ms": []}).astype({"key": "object", "due_ms": "int64"})
+        waiting, late = [r[0] for r in self.open.get()], []
+        before = set(waiting)
+        # at one time, an end comes before a start
+        for at, starts in zip(*_in_order(rows, "ms", "starts"), strict=True):
+            if starts:
+                waiting.append(int(at) + self.ms)
+            else:  # ends all that began before; some of it too late
+                late += [due for due in waiting if due < at]
+                waiting = []
+        for due in before - set(waiting):
+            self.handle.deleteTimer(due)
+        for due in set(waiting) - before:
+            self.handle.registerTimer(due)
+        if waiting:
+            self.open.put([(due,) for due in waiting])
+        else:
+            self.open.clear()
+        yield _due(key[0], late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
-        self.due.clear()
-        yield pd.DataFrame({"key": [key[0]], "due_ms": [at]})
+        waiting = [r[0] for r in self.open.get()]
+        left = [due for due in waiting if due != at]
+        if left:
+            self.open.put([(due,) for due in left])
+        else:
+            self.open.clear()
+        yield _due(key[0], [at] * (len(waiting) - len(left)))
 
     def close(self) -> None:
         pass
 
 
 def stream_timeouts(df: DataFrame, minutes: int, late: str = "1 minute") -> DataFrame:
-    """key and due_ms of starts that ran out of time, from a stream of key, ts, kind (START or END)."""
+    """key and due_ms of starts that ran out of time, from a stream of key, ts, kind (START or END); starts of a key may overlap."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("due_ms", T.LongType())])
+    df = df.select("key", "ts", F.unix_millis("ts").alias("ms"), (F.col("kind") == "START").alias("starts"))
     return df.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(statefulProcessor=_Timeout(minutes), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
@@ -118,9 +146,9 @@ class _Breaker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = tuple(self.state.get()) if self.state.exists() else ("CLOSED", 0, 0)
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            state = breaker_step(self.rule, state, int(r.ts.timestamp() * 1000), r.success)
-            out.append((key[0], r.event_id, state[0], state[1]))
+        for ms, event, success in zip(*_in_order(rows, "ms", "event_id", "success"), strict=True):
+            state = breaker_step(self.rule, state, int(ms), bool(success))
+            out.append((key[0], event, state[0], state[1]))
         self.state.update(state)
         yield pd.DataFrame(out, columns=["target", "event_id", "status", "failures"])
 
@@ -130,4 +158,5 @@ class _Breaker(StatefulProcessor):
 
 def stream_breaker(df: DataFrame, rule: BreakerRule = BreakerRule()) -> DataFrame:
     schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("failures", T.LongType())])
+    df = df.select("target", F.unix_millis("ts").alias("ms"), "event_id", "success")
     return df.groupBy("target").transformWithStateInPandas(statefulProcessor=_Breaker(rule), outputStructType=schema, outputMode="Append", timeMode="None")
