@@ -1,11 +1,12 @@
 """SimHash near-duplicates: documents whose 64-bit fingerprints differ in few bits.
 
-Fingerprints are compared exactly, in tiles: numpy exclusive-or and bit counts over sorted runs. A tile holds
-fingerprints that share one of ``radius + 1`` bit blocks (two fingerprints within the radius share a block at
-least, so no link is lost), sorted by population count; pairs whose population counts differ beyond the
-radius are skipped as a run. A block value with more fingerprints than a tile holds is split into sub-tiles,
-and each pair of sub-tiles is a task of its own. The blocks get wider combinations as the number of distinct
-fingerprints grows, so that tiles stay small: of m blocks any ``m - radius`` are shared by some choice.
+Fingerprints are compared exactly, in tiles: numpy exclusive-or and bit counts over sorted runs. An index of
+``radius + 1`` bit blocks comes first, so that not all tiles meet: two fingerprints within the radius share a
+block at least (pigeonhole), so no link is lost. The blocks get wider combinations as the number of distinct
+fingerprints grows: of m blocks any ``m - radius`` are shared by some choice. Fingerprints of one block value are
+dealt to tiles in the order of their population counts; each pair of tiles is compared by a task of its own,
+and pairs of tiles whose population counts differ beyond the radius are never made. Inside a pair, runs beyond
+the radius are skipped too.
 
 Equal fingerprints are one node. A tile emits a spanning forest of its links, not all pairs; components are
 joined up by star contraction.
@@ -24,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.llm.components import components
@@ -106,8 +107,11 @@ def roots(links_a: np.ndarray, links_b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def tile_links(tile: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in tiles: runs of one tile number, sorted by population count inside."""
+def tile_links(tile: np.ndarray, prints: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in pairs of tiles: runs of one number, sorted by population count inside.
+
+    side: 0 and 1 for the two tiles of a pair, whose own members meet elsewhere; 2 for a tile met with itself.
+    """
     bits = prints.view(np.uint64)  # of negative numbers numpy counts the bits of the absolute value
     counts = np.bitwise_count(bits).astype(np.int64)
     live = np.arange(len(prints))
@@ -118,7 +122,8 @@ def tile_links(tile: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nd
         live = live[(tile[live + lag] == tile[live]) & (counts[live + lag] - counts[live] <= radius)]
         if not len(live):
             break
-        near = live[np.bitwise_count(bits[live] ^ bits[live + lag]) <= radius]
+        near = live[(side[live] == 2) | (side[live] != side[live + lag])]
+        near = near[np.bitwise_count(bits[near] ^ bits[near + lag]) <= radius]
         near = near[root[near] != root[near + lag]]
         found_a.append(near)
         found_b.append(near + lag)
@@ -132,37 +137,48 @@ def tile_links(tile: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nd
     return prints[moved], prints[root[moved]]
 
 
+def tile_pairs(prints: DataFrame, masks: list[int], radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """fingerprint, block, value, own, other: each fingerprint with the tiles that it meets under each mask.
+
+    Tiles of a block value are numbered by population count; ``own`` is the fingerprint's tile, and ``other``
+    runs over the tiles that hold counts within the radius of its own.
+    """
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    choices = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)))
+    rows = prints.select("fingerprint", F.bit_count("fingerprint").alias("ones"), F.inline(choices))
+    # 65 population counts at most for a block value
+    sizes = rows.groupBy("block", "value", "ones").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("block", "value")
+    upto = lambda ones: F.coalesce(F.sum("n").over(group.orderBy("ones").rangeBetween(Window.unboundedPreceding, ones)), F.lit(0))
+    sizes = sizes.select("block", "value", "ones", "n", F.sum("n").over(group).alias("all"), upto(-1).alias("before"), upto(-radius - 1).alias("low"), upto(radius).alias("high")).filter("all > 1")
+    rows = rows.join(sizes, ["block", "value", "ones"])
+    number = lambda place: F.floor(place / tile).cast("int")
+    own = number(F.col("before") + F.pmod(F.xxhash64("fingerprint"), F.col("n")))
+    return rows.select("fingerprint", "block", "value", own.alias("own"), F.explode(F.sequence(number(F.col("low")), number(F.col("high") - 1))).alias("other"))
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column ``fingerprint``) that span all links within the radius."""
     spark = prints.sparkSession
-    masks = block_masks(prints.count(), radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    choices = F.array(*(F.struct(F.lit(i).alias("block"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)))
-    rows = prints.select("fingerprint", F.inline(choices))
-    sizes = rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["block", "value"])
-    cells = F.ceil(F.col("n") / tile).cast("int")
-    rows = rows.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("cells")).cast("int"))
-    # a sub-tile meets every sub-tile of its block value once
-    rows = rows.select("fingerprint", "block", "value", "own", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    rows = tile_pairs(prints, block_masks(prints.count(), radius), radius, tile)
     number = F.xxhash64("block", "value", F.least("own", "other"), F.greatest("own", "other")).alias("tile")
-    rows = rows.select(number, "fingerprint")
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side")
+    rows = rows.select(number, "fingerprint", side)
     tiles = rows.repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", F.bit_count("fingerprint"), "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_tile, kept = np.empty(0, np.int64), np.empty(0, np.int64)
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         for batch in batches:
-            number = np.concatenate((kept_tile, batch.column(0).to_numpy()))
-            bits = np.concatenate((kept, batch.column(1).to_numpy()))
-            if not len(number):
+            whole = [np.concatenate((a, b.to_numpy())) for a, b in zip(kept, batch.columns, strict=True)]
+            if not len(whole[0]):
                 continue
-            cut = int(np.searchsorted(number, number[-1]))  # the last tile may go on
-            kept_tile, kept = number[cut:], bits[cut:]
-            yield from links(number[:cut], bits[:cut])
-        yield from links(kept_tile, kept)
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last pair of tiles may go on
+            kept = [a[cut:] for a in whole]
+            yield from links(*(a[:cut] for a in whole))
+        yield from links(*kept)
 
-    def links(number: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = tile_links(number, bits, radius)
+    def links(number: np.ndarray, bits: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = tile_links(number, bits, side, radius)
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
