@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of all pivots by nearness. A block of the index posts its vectors in
-one inverted file for each pivot, which holds the pivot's place in each vector's order. A query adds up, file
-by file, how far the pivots' places are from those in its own order (footrule distance), keeps the nearest
-``rerank`` share of the block and reranks them by exact cosine in double precision.
+A vector is represented by its ``prefix`` nearest pivots in order. A block of the index posts each vector, with
+the place, in the inverted files of those pivots only. A query reads the files of its own nearest pivots, which
+hold a share of prefix / pivots of the block each, and adds up what the footrule distance of two truncated
+orders (absent pivots count as behind all others) loses by each shared pivot. The nearest ``rerank`` share of
+the block is reranked by exact cosine in double precision.
 
 Pivots are a bounded sample of distinct vectors (``pivots`` of them); every vector is indexed. Queries and
 index meet in blocks, each pair of blocks in a task of its own, which returns a few rows for each query.
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from wharfline.llm.workdir import materialize
 
-PIVOTS = 256
-#: Share of a block that is reranked, the same at every size of a table, and at least so many vectors.
-RERANK, LEAST_RERANK = 0.125, 128
-QUERY_BLOCK = 4096
+PIVOTS, PREFIX = 256, 48
+#: Share of a block that is reranked, the same at every size of a table.
+RERANK = 0.2
+#: Vectors of a block of the index, and queries of a block.
+BLOCK_ROWS, QUERY_BLOCK = 16_384, 4096
 SALTS = 32
 
 
@@ -45,17 +47,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector the place of each pivot in its order, nearest first."""
-    order = np.argsort(-(vectors @ pivots.T), 1, kind="stable")
-    out = np.empty(order.shape, np.uint8)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.uint8)[None, :], 1)
-    return out
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """For each vector the numbers of its nearest pivots, nearest first (256 pivots at most)."""
+    return np.argsort(-(vectors @ pivots.T), 1, kind="stable")[:, :prefix].astype(np.uint8)
 
 
-def build_index(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """``nodes`` with its unit vector and its places as bytes."""
-    table = nodes.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS rows
+def build_index(nodes: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> DataFrame:
+    """``nodes`` with its unit vector and its nearest pivots as bytes."""
+    table = nodes.sparkSession.sparkContext.broadcast(pivots)  # 256 rows at most
     others = [c for c in nodes.columns if c != "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,30 +63,47 @@ def build_index(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
                 batch = whole.slice(at, 2048)
                 lists = batch.column("v")
                 x = unit(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1))
-                p = places(x, table.value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in p], pa.binary())], names=[*others, "unit", "places"])
+                order = nearest_pivots(x, table.value, prefix)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in order], pa.binary())], names=[*others, "unit", "order"])
 
-    return nodes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema if f.name != "v") + ", unit binary, places binary")
+    return nodes.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema if f.name != "v") + ", unit binary, order binary")
 
 
-def block_search(query_places: np.ndarray, queries: np.ndarray, files: np.ndarray, vectors: np.ndarray, ties: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best rows of the block and their cosines.
+class Files:
+    """The inverted files of a block: for each pivot the rows that it is near to, and its places there."""
 
-    files: row p is the inverted file of pivot p, the places of that pivot by vector of the block.
-    """
-    for i, own in enumerate(query_places):
-        far = own[:, None]
-        apart = (np.maximum(files, far) - np.minimum(files, far)).sum(0, dtype=np.uint16)
-        near = np.argpartition(apart, rerank - 1)[:rerank] if rerank < len(apart) else np.arange(len(apart))
+    def __init__(self, order: np.ndarray):
+        n, self.prefix = order.shape
+        pivot = order.ravel()
+        by_pivot = np.argsort(pivot, kind="stable")
+        self.rows, self.places = by_pivot // self.prefix, (by_pivot % self.prefix).astype(np.int32)
+        self.ends = np.append(0, np.cumsum(np.bincount(pivot, minlength=256)))
+        self.n = n
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """By how much the footrule distance to each row is less than that of orders without a common pivot, halved."""
+        out = np.zeros(self.n, np.int32)
+        for place, pivot in enumerate(own):
+            at = slice(self.ends[pivot], self.ends[pivot + 1])
+            out[self.rows[at]] += self.prefix - np.maximum(self.places[at], place)  # a row is in a file once
+        return out
+
+
+def block_search(query_order: np.ndarray, queries: np.ndarray, files: Files, vectors: np.ndarray, ties: np.ndarray, k: int, rerank: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its k best rows of the block and their cosines."""
+    keep = max(k, int(np.ceil(rerank * files.n)))
+    for i, own in enumerate(query_order):
+        near = np.argpartition(-files.shared(own), keep - 1)[:keep] if keep < files.n else np.arange(files.n)
         cosine = np.einsum("ij,j->i", vectors[near], queries[i])
         best = np.lexsort((ties[near], -cosine))[:k]
         yield i, near[best], cosine[best]
 
 
-def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, rerank: float = RERANK, block_rows: int | None = None) -> DataFrame:
+def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of the other rows, for each row that ``queries_where`` names (of ``vec_id``)."""
     spark = rows.sparkSession
-    vectors = materialize(spark, usable(rows, id_column, vector).withColumn("node", F.xxhash64("v")), "ann")
+    # two hashes of the vector, so that unlike vectors don't become one node
+    vectors = materialize(spark, usable(rows, id_column, vector).withColumn("node", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "v")))), "ann")
     common = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
@@ -100,14 +116,12 @@ def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "ve
     nodes = materialize(spark, vectors.groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.max(F.expr(queries_where)).alias("asked")), "ann")
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(min(pivots, 256)).select("v").toPandas()
-    index = materialize(spark, build_index(nodes, unit(np.array(sample["v"].tolist()))), "ann")
-    # pairs of blocks; blocks grow with the table up to a bound, so that their number stays moderate
-    size = block_rows or min(max(1024, n // 256), 65_536)
-    blocks, parts = max(1, -(-n // size)), max(1, -(-index.filter("asked").count() // QUERY_BLOCK))
+    index = materialize(spark, build_index(nodes, unit(np.array(sample["v"].tolist())), prefix), "ann")
+    blocks, parts = max(1, -(-n // block_rows)), max(1, -(-index.filter("asked").count() // QUERY_BLOCK))
     spread = lambda column, count: F.pmod(F.xxhash64(column, F.lit(3)), F.lit(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = index.filter("asked").select("node", "unit", "places", spread("node", parts).alias("part"), each(blocks).alias("block"))
-    right = index.select("node", "least", "unit", "places", spread("node", blocks).alias("block"), each(parts).alias("part"))
+    left = index.filter("asked").select("node", "unit", "order", spread("node", parts).alias("part"), each(blocks).alias("block"))
+    right = index.select("node", "least", "unit", "order", spread("node", blocks).alias("block"), each(parts).alias("part"))
 
     def meet(q, x):
         import pandas as pd
@@ -115,13 +129,13 @@ def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "ve
         out = []
         if len(q) and len(x):
             stack = lambda column, kind: np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
-            keep = max(LEAST_RERANK, int(rerank * len(x)))
             nodes, asked = x["node"].to_numpy(), q["node"].to_numpy()
-            for i, at, cosine in block_search(stack(q["places"], np.uint8), stack(q["unit"], float), np.ascontiguousarray(stack(x["places"], np.uint8).T), stack(x["unit"], float), x["least"].to_numpy(), k + 1, keep):
+            files = Files(stack(x["order"], np.uint8))
+            for i, at, cosine in block_search(stack(q["order"], np.uint8), stack(q["unit"], float), files, stack(x["unit"], float), x["least"].to_numpy(), k + 1, rerank):
                 out.append(pd.DataFrame({"query_node": asked[i], "node": nodes[at], "score": cosine}))
-        return pd.concat(out) if out else pd.DataFrame({"query_node": np.empty(0, np.int64), "node": np.empty(0, np.int64), "score": np.empty(0)})
+        return pd.concat(out) if out else pd.DataFrame({"query_node": np.empty(0, object), "node": np.empty(0, object), "score": np.empty(0)})
 
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, "query_node bigint, node bigint, score double")
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(meet, "query_node string, node string, score double")
     asked = vectors.filter(F.expr(queries_where)).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
     least = members.groupBy("node").agg(F.min("vec_id").alias("least"))
     top = Window.partitionBy("query_node").orderBy(F.desc("score"), "least", "node")
