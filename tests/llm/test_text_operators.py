@@ -4,6 +4,7 @@ import random
 import re
 import string
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -195,6 +196,28 @@ def test_quality_held_out(spark):
     assert held[held.quality == 1].predicted.mean() > 0.98
 
 
+def brute_statistics(text):
+    """The statistics in plain Python."""
+    words = re.split(r"[ \t\n\x0b\f\r]+", text.strip(" \t\n\x0b\f\r")) if text.strip(" \t\n\x0b\f\r") else []
+    lines, chars, n, kinds = text.split("\n"), len(text), len(words), set(words)
+    share = lambda a, b: a / max(b, 1)
+    known = len(kinds & set(quality.FUNCTION_WORDS))
+    return {
+        "log_words": np.log1p(n), "word_length": share(chars, n), "upper_share": share(sum(unicodedata.category(c) == "Lu" for c in text), chars), "excited_share": share(sum(c in "!?" for c in text), n),
+        "symbol_share": share(sum(c in "#$%&*+/<=>@\\^_`|~{}[]" for c in text), n), "digit_share": share(sum(c in "0123456789" for c in text), chars), "stop_share": share(sum(c in ".,;:" for c in text), n),
+        "distinct_words": share(len(kinds), n), "distinct_root": len(kinds) / max(np.sqrt(n), 1), "distinct_lines": share(len(set(lines)), len(lines)), "words_a_line": share(n, len(lines)), "function_words": known, "function_share": share(known, min(len(kinds), 60)),
+    }
+
+
+def test_statistics(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n\t "), (-4, "ÄÖ\xa0x Ｑ9 {a}|b"), (-5, "w " * 5000)], "doc_id long, text string"))
+    rows, names = quality.statistics(docs)
+    for r in rows.select("doc_id", "text", "_stats").collect():
+        want = brute_statistics(r.text or "")
+        assert set(names) == set(want) and all(abs(r._stats[k] - want[k]) < 1e-9 for k in names), r.doc_id
+
+
 def test_quality_odd(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.quality_report(odd, none).collect()} == {0.5}

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wharfline.llm.workdir import materialize
+from wharfline.llm.workdir import materialize, spare_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -60,7 +60,9 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
     """
     spark = docs.sparkSession
     number = F.col(row) if row else F.monotonically_increasing_id()
-    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    # documents without an id are told apart by their number, so that they don't share a place
+    known = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), number.cast("string")))
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), known))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffled.alias("key"), F.xxhash64("text").alias("tie"), number.alias("row"))
     rows = materialize(spark, rows, "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
@@ -117,6 +119,7 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with their columns as they were, each as often as the mix takes it."""
-    numbered = materialize(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()), "mixing")
-    times = mix(numbered, row="_row").filter("repeats > 0").select(F.col("row").alias("_row"), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("_copy"))
-    return numbered.join(times, "_row").select(*docs.columns)
+    row = spare_name(docs, "row_number")
+    numbered = materialize(docs.sparkSession, docs.withColumn(row, F.monotonically_increasing_id()), "mixing")
+    times = mix(numbered, row=row).filter("repeats > 0").select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias(spare_name(numbered, "copy")))
+    return numbered.join(times, row).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.llm.tokens import END_ID, ByteLevelEncoder, encoder, vocabulary_path
-from wharfline.llm.workdir import shuffle_partitions
+from wharfline.llm.workdir import shuffle_partitions, spare_name
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 SCHEMA = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -179,8 +179,10 @@ def _batches(pieces: list[tuple], digests: bool) -> Iterator[pa.RecordBatch]:
 def in_order(docs: DataFrame, *others: str, partitions: int | None = None) -> DataFrame:
     """doc_id, text (null: empty) and ``others``, dealt out and sorted by doc_id; equal ids by a hash of the text."""
     n = partitions or shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others).withColumn("tie", F.xxhash64("text"))
-    return rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
+    tie = spare_name(rows, "tie")
+    rows = rows.withColumn(tie, F.xxhash64("text"))
+    return rows.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text").drop(tie)
 
 
 def pack(docs: DataFrame, seq_len: int = 2048, vocabulary: str | None = None, partitions: int | None = None, digests: bool = False) -> DataFrame:

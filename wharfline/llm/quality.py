@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.llm.workdir import spare_name
+
 THRESHOLD = 0.3
 FOLDS = 5
 MOST_ROWS = 20_000
@@ -35,8 +37,9 @@ def _share(n: Column, of: Column) -> Column:
     return n.cast("double") / F.greatest(of.cast("double"), F.lit(1.0))
 
 
-def statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with a struct ``_stats`` of statistics of its text, and their names."""
+def statistics(docs: DataFrame, into: str = "_stats") -> tuple[DataFrame, list[str]]:
+    """``docs`` with a struct of statistics of its text in a new column, and their names."""
+    q = spare_name(docs, "_q")
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
@@ -44,31 +47,31 @@ def statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     # explode keeps the optimizer from repeating what is used more than once
     once = lambda c: F.explode(F.array(c))
-    raw = docs.withColumn("_q", once(F.struct(
+    raw = docs.withColumn(q, once(F.struct(
         F.length(text).alias("chars"), words.alias("words"), F.size(lines).alias("lines"), F.size(F.array_distinct(lines)).alias("distinct_lines"),
         count(r"\p{Lu}").alias("upper"), count(r"[!?]").alias("excited"), count(r"[#$%&*+/<=>@\\^_`|~{}\[\]]").alias("symbols"), count("[0-9]").alias("digits"), count("[.,;:]").alias("stops"),
     )))
-    raw = raw.withColumn("_q", once(F.struct("_q.*", F.array_distinct("_q.words").alias("vocabulary"), F.size("_q.words").alias("n_words"))))
-    n, chars = F.col("_q.n_words"), F.col("_q.chars")
-    distinct = F.size("_q.vocabulary")
-    known = F.size(F.array_intersect("_q.vocabulary", F.array(*map(F.lit, FUNCTION_WORDS))))
+    raw = raw.withColumn(q, once(F.struct(f"{q}.*", F.array_distinct(f"{q}.words").alias("vocabulary"), F.size(f"{q}.words").alias("n_words"))))
+    n, chars = F.col(f"{q}.n_words"), F.col(f"{q}.chars")
+    distinct = F.size(f"{q}.vocabulary")
+    known = F.size(F.array_intersect(f"{q}.vocabulary", F.array(*map(F.lit, FUNCTION_WORDS))))
     stats = {
         "log_words": F.log1p(n.cast("double")),
         "word_length": _share(chars, n),
-        "upper_share": _share(F.col("_q.upper"), chars),
-        "excited_share": _share(F.col("_q.excited"), n),
-        "symbol_share": _share(F.col("_q.symbols"), n),
-        "digit_share": _share(F.col("_q.digits"), chars),
-        "stop_share": _share(F.col("_q.stops"), n),
+        "upper_share": _share(F.col(f"{q}.upper"), chars),
+        "excited_share": _share(F.col(f"{q}.excited"), n),
+        "symbol_share": _share(F.col(f"{q}.symbols"), n),
+        "digit_share": _share(F.col(f"{q}.digits"), chars),
+        "stop_share": _share(F.col(f"{q}.stops"), n),
         "distinct_words": _share(distinct, n),
         # copies of one word weigh less in long texts, whose distinct words grow slower than their length
         "distinct_root": distinct / F.greatest(F.sqrt(n.cast("double")), F.lit(1.0)),
-        "distinct_lines": _share(F.col("_q.distinct_lines"), F.col("_q.lines")),
-        "words_a_line": _share(n, F.col("_q.lines")),
+        "distinct_lines": _share(F.col(f"{q}.distinct_lines"), F.col(f"{q}.lines")),
+        "words_a_line": _share(n, F.col(f"{q}.lines")),
         "function_words": known.cast("double"),
         "function_share": _share(known, F.least(distinct, F.lit(60))),
     }
-    return raw.withColumn("_stats", once(F.struct(*(c.alias(k) for k, c in stats.items())))).drop("_q"), list(stats)
+    return raw.withColumn(into, once(F.struct(*(c.alias(k) for k, c in stats.items())))).drop(q), list(stats)
 
 
 @dataclass(frozen=True)
@@ -209,8 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (likelihood of label 1) and ``predicted``; columns of these names are replaced."""
-    rows, _ = statistics(docs)
-    return rows.withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("_stats")
+    stats = spare_name(docs, "_stats")
+    rows, _ = statistics(docs, stats)
+    return rows.withColumn("score", model.column(stats)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop(stats)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,5 +225,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject."""
-    rows, _ = statistics(docs)
-    return rows.filter(train(docs, labels).column() >= THRESHOLD).select(*docs.columns)
+    stats = spare_name(docs, "_stats")
+    rows, _ = statistics(docs, stats)
+    return rows.filter(train(docs, labels).column(stats) >= THRESHOLD).select(*docs.columns)
