@@ -68,8 +68,13 @@ def queue_breaches(df: DataFrame, as_of: Column, wait_ms: int) -> DataFrame:
 
 def sustained(df: DataFrame, condition: Column, minutes: int, ts: str = "ts", key: str | None = None) -> DataFrame:
     """Samples at which the condition has held for all samples of the last minutes, which reach back far enough."""
-    span = minutes * 60
-    order = Window.partitionBy(*([key] if key else [])).orderBy("_s")
+    span, by = minutes * 60, [key] if key else []
     rows = df.withColumn("_s", F.unix_seconds(ts)).withColumn("_ok", condition)
-    within = order.rangeBetween(-span, 0)
-    return rows.withColumns({"_all": F.bool_and("_ok").over(within), "_first": F.min("_s").over(order.rangeBetween(Window.unboundedPreceding, 0))}).filter(F.col("_all") & (F.col("_s") - F.col("_first") >= span)).drop("_s", "_ok", "_all", "_first")
+    # slices as long as the span: what a sample looks back at lies in its own slice and the one before
+    own = F.floor(F.col("_s") / span)
+    spread = rows.withColumn("_slice", F.explode(F.array(own, own + 1)))
+    within = Window.partitionBy(*by, "_slice").orderBy("_s").rangeBetween(-span, 0)
+    held = spread.withColumn("_all", F.bool_and("_ok").over(within)).filter(F.col("_all") & (F.col("_slice") == own))
+    first = rows.groupBy(*(F.col(k).alias("_key") for k in by)).agg(F.min("_s").alias("_first"))
+    held = held.join(first, F.col(key).eqNullSafe(F.col("_key"))) if key else held.crossJoin(F.broadcast(first))  # one row
+    return held.filter(F.col("_s") - F.col("_first") >= span).select(*df.columns)
