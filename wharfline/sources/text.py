@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions.text import has_text, jtrim
+from wharfline.shared import shared_dir
 
 
 @dataclass(frozen=True)
@@ -21,15 +22,27 @@ class Parsed:
     bad: DataFrame
 
 
+#: Splits whose offsets are broadcast; a broadcast row takes some 64 bytes. More are joined by a shuffle.
+MOST_SPLITS = 1_000_000
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line_no (from 1) and line."""
+    """file, line_no (from 1) and line. Counts the lines of each split at once; lines themselves are not shuffled."""
     rows = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
     )
     # a split's first id and size; one row for each split of a file
     sizes = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = sizes.select("file", "split", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("before"))
-    return rows.join(before, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+    before = sizes.select(F.xxhash64("file").alias("of"), "split", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("before"))
+    path = shared_dir(spark, "splits")
+    before.write.parquet(path)
+    before = spark.read.schema(before.schema).parquet(path)
+    if before.count() <= MOST_SPLITS:
+        before = F.broadcast(before)
+    # a split is known by its file's hash, its start and the numbers of its task's rows
+    rows = rows.withColumn("of", F.xxhash64("file")).withColumn("task", F.shiftright("at", 33))
+    before = before.withColumn("task", F.shiftright("first", 33))
+    return rows.join(before, ["of", "split", "task"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def _split_good(rows: DataFrame, error: Column) -> Parsed:
