@@ -1,11 +1,16 @@
 """Duplicates, lines, mixing, licences, neighbours, the pipeline: against brute force."""
 
+import hashlib
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wharfline.llm import ann, exact_dedup, licenses, line_dedup, mixing, simhash
@@ -61,6 +66,27 @@ def test_state_goes_on(spark, documents, tmp_path):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in rows} == {(5, 2, 2), (2, 2, 2), (6, 6, 1), (7, 7, 1)}
 
 
+def test_bytes_settle_hits_of_earlier_runs(documents, tmp_path):
+    """All texts share one digest: the bytes of rows of earlier runs count too."""
+    one = lambda text: F.lit("z")
+    run = lambda name, *rows: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(documents(*rows), digest=one, state_dir=str(tmp_path / name)).collect()}
+    run("x", (1, "a"), (2, "a"))
+    assert run("x", (3, "b"), (4, "b")) == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False)}
+    run("y", (1, "a"), (2, "b"))
+    assert run("y", (6, "a"), (7, "b")) == {(1, 1, 2, True), (6, 1, 2, False), (2, 2, 2, True), (7, 2, 2, False)}
+
+
+def test_rows_seen_again(spark, documents, tmp_path):
+    """A file read by two runs is one set of rows; its texts are found again in the file."""
+    path, weak = str(tmp_path / "docs"), lambda text: F.crc32(text.cast("binary")) % 2
+    documents(*((i, f"text {i % 3}") for i in range(9))).write.parquet(path)
+    for _ in range(2):
+        rows = exact_dedup.exact_groups(spark.read.parquet(path), True, weak, str(tmp_path / "state")).collect()
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in rows} == {(i, i % 3, 3) for i in range(9)} and len(rows) == 9
+    more = exact_dedup.exact_groups(documents((20, "text 1"), (21, "new")), digest=weak, state_dir=str(tmp_path / "state")).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in more} == {(i, i % 3, 4 if i % 3 == 1 else 3) for i in range(9)} | {(20, 1, 4), (21, 21, 1)}
+
+
 def brute_print(text):
     folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in "".join(" " if c in " \t\n\v\f\r" else c for c in folded).split(" ") if w]
@@ -108,6 +134,22 @@ def test_tiles_lose_no_link(spark, tile):
     assert all(bin((a ^ b) % (1 << 64)).count("1") <= 4 or want[at[a]] == want[at[b]] for a, b in links)
 
 
+def test_tiles_far_apart_never_meet(spark):
+    """Of fingerprints under one block value, those with unlike population counts are not even dealt to a common pair of tiles."""
+    rng = random.Random(6)
+    prints = [sum(1 << b for b in rng.sample(range(60), ones)) for ones in range(0, 60, 2) for _ in range(20)]
+    prints = list(dict.fromkeys(prints))
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint long")
+    rows = simhash.tile_pairs(df, [0], 4, 50).collect()
+    tiles = defaultdict(set)
+    for r in rows:
+        tiles[r.own].add(bin(r.fingerprint).count("1"))
+    made = {(min(r.own, r.other), max(r.own, r.other)) for r in rows}
+    near = {(i, j) for i in tiles for j in tiles if i <= j and any(abs(a - b) <= 4 for a in tiles[i] for b in tiles[j])}
+    every = len(tiles) * (len(tiles) + 1) // 2
+    assert near <= made and len(made) < 0.4 * every and max(Counter(r.own for r in {(r.own, r.fingerprint): r for r in rows}.values()).values()) < 100
+
+
 @pytest.mark.parametrize("count", [10, 10_000, 10_000_000, 10_000_000_000])
 def test_masks_cover(count):
     masks, rng = simhash.block_masks(count), random.Random(2)
@@ -134,6 +176,24 @@ def test_lines(spark):
     assert clean[2] == "x" and clean[5] == " \n " and clean[3] is None
 
 
+def brute_shingles(line, size=12):
+    """Twelve characters from the start of each word and from each eighth character of longer words."""
+    if len(line.encode()) > 2 * len(line):
+        line = "".join(c + " " if ord(c) > 0x2E7F else c for c in line)
+    words = line.split(" ")
+    return {" ".join(words[k: k + 3])[at: at + size] for k, w in enumerate(words) for at in range(0, max(1, len(w) - 4), 8)}
+
+
+@given(st.text(alphabet=st.sampled_from([*"abcXYZ019 .,-_/\t\r", "é", "Ж", "漢", "字", "ー", "\U0001f600"]), min_size=1, max_size=60))
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_shingles(spark, line):
+    df = spark.createDataFrame([(line,)], "line string")
+    assert {r.shingle for r in line_dedup.shingle_rows(df).collect()} == brute_shingles(line)
+    hashes = {r.h for r in line_dedup.shingle_rows(df).select(F.xxhash64("shingle").alias("h")).collect()}
+    got = line_dedup.shingle_sets(df).first().shingles
+    assert set(got) == hashes and len(got) == len(hashes)
+
+
 def test_lines_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
@@ -143,7 +203,7 @@ def test_lines_against_brute_force(spark):
             if line.strip(" "):
                 first.setdefault(line, (i, k))
     lines = list(first)
-    sets = [{b[i: i + 12] for i in range(max(1, len(b) - 11))} for b in (line.encode() for line in lines)]
+    sets = [brute_shingles(line) for line in lines]
     posts, links = defaultdict(list), []
     for i, s in enumerate(sets):
         for j, m in Counter(j for x in s for j in posts[x]).items():
@@ -172,7 +232,7 @@ def edited_lines(rng, n, low, high, passage=0):
         a = common[: int(size * passage)] + text(size - int(size * passage))
         at = rng.randrange(len(a))
         b = a[:at] + text(rng.randint(1, max(1, size // 12))) + a[at + rng.randint(0, size // 12):]
-        x, y = ({t[i: i + 12] for i in range(max(1, len(t) - 11))} for t in (a, b))
+        x, y = brute_shingles(a), brute_shingles(b)
         if 0.8 <= len(x & y) / len(x | y) <= 0.85:
             out.append((a, b))
     return out
@@ -180,14 +240,14 @@ def edited_lines(rng, n, low, high, passage=0):
 
 def banded(spark, lines):
     """The bands of each line."""
-    table = spark.createDataFrame([(i, 0, line) for i, line in enumerate(lines)], "h1 long, h2 long, line string")
+    table = spark.createDataFrame([(i, 0, line, 1) for i, line in enumerate(lines)], "h1 long, h2 long, line string, n long")
     signed = {r.h1: r for r in line_dedup.signatures(table).collect()}
     return [{(n, *(signed[i][f"m{k}"] for k in band)) for n, band in enumerate(line_dedup.BANDS)} for i in range(len(lines))]
 
 
 def test_lines_of_a_common_passage(spark):
-    lines = [line for pair in edited_lines(random.Random(5), 200, 100, 160, 0.6) for line in pair]
-    sets = [{line[i: i + 12] for i in range(len(line) - 11)} for line in lines]
+    lines = [line for pair in edited_lines(random.Random(5), 900, 100, 160, 0.6) for line in pair]
+    sets = [brute_shingles(line) for line in lines]
     bands = banded(spark, lines)
     like = [(i, j) for j in range(len(lines)) for i in range(j) if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     root = union(len(lines), like)
@@ -265,21 +325,64 @@ def test_licences(spark, odd, empty):
     assert licenses.licence_report(empty).count() == 0
 
 
-def test_licence_scores(spark):
-    """Against TF-IDF by hand."""
-    texts = ["Licensed under the Apache License", "Released under the MIT License", "Licensed under the BSD licence of old"]
-    found = spark.createDataFrame([(" ".join(t.lower().split()), n + 1) for n, t in enumerate(texts)], "passage string, n long")
-    templates = (("A", texts[0]), ("M", texts[1]))
-    got = {r.passage: (r.licence, r.score) for r in licenses.similarities(spark, found, 0.0, templates).collect()}
-    df = Counter()
-    for n, t in enumerate(texts):
-        for w in set(t.lower().split()):
-            df[w] += n + 1
-    vec = lambda t: {w: c * (np.log(7 / (1 + df[w])) + 1) for w, c in Counter(t.lower().split()).items()}
-    cos = lambda a, b: sum(a[w] * b.get(w, 0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-    for t in texts:
-        best = max((cos(vec(t), vec(x)), name) for name, x in templates)
-        assert got[t.lower()][0] == best[1] and abs(got[t.lower()][1] - best[0]) < 1e-9
+def full_text(*names):
+    return "\n\n".join(sentence for name in names for sentence in licenses.TEMPLATES[name])
+
+
+def test_licence_files(spark):
+    """Whole texts, wrapped and commented headers, identifiers."""
+    import textwrap
+
+    gpl = " ".join((licenses.TEMPLATES["GPL-3.0"][-1], *licenses.TEMPLATES["GPL*"]))
+    rows = {
+        "m/LICENSE": (full_text("MIT", "MIT*"), "MIT"), "b/LICENSE": (full_text("BSD-2-Clause*"), "BSD-2-Clause"), "c/LICENSE": (full_text("BSD-2-Clause*", "BSD-3-Clause"), "BSD-3-Clause"),
+        "w/a.py": ("\n".join("# " + x for x in textwrap.wrap(gpl, 60)) + "\n\nimport os\n" + "x = y + z\n" * 40, "GPL-3.0"), "w/b.c": ("/*\n" + "\n".join(" * " + x for x in textwrap.wrap(licenses.TEMPLATES["Apache-2.0"][3], 50)) + "\n */\nint main() {}\n" + "a b c d;\n" * 40, "Apache-2.0"),
+        "s/a.rs": ("// SPDX-License-Identifier: MPL-2.0\nfn main() {}", "MPL-2.0"), "m/x/y.c": ("int x;", "MIT"), "w/c.py": ("import re", None), "n/a.txt": ("the permission of the author and the public of the version", None),
+    }
+    docs = spark.createDataFrame([(i, p, t) for i, (p, (t, _)) in enumerate(rows.items())], "doc_id long, path string, text string")
+    assert {r.path: r.licence for r in licenses.scan_licences(docs).collect()} == {p: want for p, (_, want) in rows.items()}
+
+
+def test_rows_of_one_id_and_path(spark):
+    docs = spark.createDataFrame([(1, "a/b.txt", "Released under the MIT License."), (1, "a/b.txt", "hello all"), (1, "a/b.txt", "Licensed under CC BY 4.0.")], "doc_id long, path string, text string")
+    assert sorted(str(r.own) for r in licenses.scan_licences(docs, file_share=2.0).collect()) == ["CC-BY-4.0", "MIT", "None"]
+
+
+def test_licences_against_brute_force(spark):
+    """Each sentence of each document with each template, TF-IDF by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    cut = lambda text: [t for t in re.split(r"[^\w.+-]+|_|[.-]+(?=\s|$)", text.lower()) if t]
+    known = [(name.rstrip("*"), name.endswith("*"), Counter(cut(t))) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    vocabulary = {t for *_, c in known for t in c}
+    df = Counter(t for _, text in rows for t in set(cut(text)) & vocabulary)
+    idf = lambda t: np.log((1 + len(rows)) / (1 + (df[t] if t in vocabulary else 0))) + 1
+    vector = lambda c: {t: n * idf(t) for t, n in c.items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    vectors = [(name, shared, v := vector(c), norm(v)) for name, shared, c in known]
+    posts, want = defaultdict(list), {}
+    for i, (*_, v, _) in enumerate(vectors):
+        for t in v:
+            posts[t].append(i)
+    seen = {}
+    for doc, text in rows:
+        best = None
+        for part in {s for line in [*text.split("\n"), *(re.sub(r"\s*\n\s*", " ", p) for p in re.split(r"\n\s*\n", text))] for s in re.split(r"(?<=[.!?;:])\s+", line)}:
+            if part not in seen:
+                seen[part] = None
+                w = vector(Counter(cut(part)))
+                near = Counter(i for t in w if t in posts for i in posts[t])
+                for i in near:
+                    name, shared, v, length = vectors[i]
+                    score = round(sum(x * w.get(t, 0) for t, x in v.items()) / length / norm(w), 9)
+                    if score >= 0.6:
+                        seen[part] = min(seen[part] or (9,), (shared, -score, name))
+            if seen[part]:
+                best = min(best or (9,), seen[part])
+        want[doc] = best and (best[2], -best[1])
+    got = {r.doc_id: (r.own, r.score) if r.own else None for r in licenses.licence_report(docs).collect()}
+    assert sum(x is not None for x in want.values()) > 20 and got.keys() == want.keys()
+    assert all((g is None) == (w is None) and (g is None or g[0] == w[0] and abs(g[1] - w[1]) < 1e-5) for g, w in ((got[k], want[k]) for k in want))
 
 
 def test_neighbours(spark):
@@ -308,21 +411,76 @@ def test_neighbours_odd(spark):
     assert ann.ann_report(df.limit(0)).count() == 0
 
 
+def fair_queue(rows):
+    """doc_id to the number of its copies in the mix, taken one by one in the order of their finish times."""
+    sizes, sent, copies = Counter(), Counter(), []
+    for _, source, n in rows:
+        sizes[source] += n
+    target = brute_targets(sizes)
+    rank = {s: i for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    key = lambda i: hashlib.md5(f"0:{i}".encode()).hexdigest()
+    for i, source, n in sorted(rows, key=lambda r: (key(r[0]), r[0])):
+        sent[source] += n
+        copies += [((p * sizes[source] + sent[source]) / target[source], rank[source], p, key(i), i, n) for p in range(3) if n and target[source] > 0]
+    out, run = Counter(), 0
+    for *_, i, n in sorted(copies):
+        run += n
+        if run > sum(sizes.values()):
+            break
+        out[i] += 1
+    return out
+
+
 def test_pipeline(spark):
+    """Each stage against brute force on what it was given."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from wharfline.llm import packing, quality
+    from wharfline.llm.tokens import vocabulary_path
+    from wharfline.llm.workdir import materialize
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    counts = []
-    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        from wharfline.llm.workdir import materialize
-
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
         out = materialize(spark, stage(spark, docs, folder), f"stage{n}")
         if n < 4:
             assert out.columns == docs.columns
-        counts.append(out.count())
+        if n == 0:
+            model = quality.train(docs, labels)
+            from test_text_operators import brute_statistics
+
+            score = lambda text: model.score(np.array([[brute_statistics(text)[k] for k in model.names]]))[0]  # noqa: B023, E731
+            want = sorted(i for i, text, _ in rows if score(text) >= 0.3)
+        elif n == 1:
+            first = {}
+            for i, text, _ in sorted(rows):
+                first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text), i)
+            want = sorted(first.values())
+        elif n == 2:
+            prints = [brute_print(text) for _, text, _ in rows]
+            root = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 4])
+            least = {}
+            for (i, _, _), r in zip(rows, root, strict=True):
+                least[r] = min(i, least.get(r, i))
+            want = sorted(least.values())
+        elif n == 3:
+            want = sorted(fair_queue([(i, source, len(re.findall(r"[^\x20\x09-\x0D]+", text))) for i, text, source in rows]).elements())
+        else:
+            plain, texts = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json")), {i: text for i, text, _ in rows}
+            pieces = packing.pack(docs).select("doc_id", "start", "length", "sequence_id", "offset", "ids").collect()
+            assert {(r.doc_id, r.start, r.length, r.sequence_id, r.offset): zlib.crc32(r.ids) for r in pieces} == {(r.doc_id, r.start, r.length, r.sequence_id, r.offset): r.ids_crc32 for r in out.collect()}
+            total = Counter()
+            for r in pieces:
+                total[r.doc_id] += r.length
+            copies = Counter(i for i, *_ in rows)
+            assert total == {i: k * (len(plain.encode(texts[i], add_special_tokens=False).ids) + 1) for i, k in copies.items()}
+            continue
+        assert ids(out) == want, name
         docs = out
-    assert 200 > counts[0] >= counts[1] >= counts[2] and docs.columns[:3] == ["doc_id", "start", "length"]
 
 
 def test_queries(spark):
@@ -332,11 +490,23 @@ def test_queries(spark):
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
 
 
-def test_neighbours_by_share_alone(spark, monkeypatch):
-    """The recall of one large block, where the least number of reranked vectors doesn't act."""
-    monkeypatch.setattr(ann, "LEAST_RERANK", 1)
+def test_footrule():
+    """Shared pivots lower the footrule distance of two truncated orders by twice what the files add up."""
+    rng = np.random.default_rng(4)
+    order = np.stack([rng.permutation(40)[:9] for _ in range(60)]).astype(np.uint8)
+    files = ann.Files(order)
+    for own in order[:10]:
+        gain = files.shared(own)
+        for row, other in enumerate(order):
+            place = lambda o, p: list(o).index(p) if p in o else 9
+            distance = sum(abs(place(own, p) - place(other, p)) for p in range(40))
+            assert distance == 2 * (45 - gain[row])
+
+
+@pytest.mark.parametrize("block_rows", [500, 16_384])
+def test_recall(spark, block_rows):
     data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = ann.search(data, "vec_id % 50 = 0", block_rows=1 << 16).toPandas()
+    got = ann.search(data, "vec_id % 50 = 0", block_rows=block_rows).toPandas()
     rows = data.orderBy("vec_id").toPandas()
     x = np.array(rows.embedding.tolist(), float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -346,5 +516,4 @@ def test_neighbours_by_share_alone(spark, monkeypatch):
         near[ids == q] = -2
         hits += len(set(ids[np.argsort(-near)[:5]]) & set(found.vec_id))
         all_ += 5
-    print("recall", hits / all_, all_)
-    assert all_ == 5 * sum(ids % 50 == 0) and hits >= 0.98 * all_
+    assert all_ == 5 * sum(ids % 50 == 0) and hits >= 0.93 * all_, hits / all_
