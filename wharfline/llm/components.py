@@ -29,10 +29,11 @@ def _small_star(scratch: Scratch, links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, into: Scratch | None = None) -> DataFrame:
     """node, component (its smallest node) for every node of ``links`` (two columns of one comparable type).
 
     Links to oneself, repeated and reversed links are allowed; nodes without a link to another one are left out.
+    into: where the result is written, if it isn't to be kept.
     """
     spark = links.sparkSession
     a, b = links.columns
@@ -44,6 +45,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             state = nxt.agg(F.count("*").alias("n"), F.countDistinct("a").alias("leaves")).first()
             if state.n == state.leaves and not nxt.join(nxt.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
                 found = nxt.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(nxt.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-                return materialize(spark, found, "components")
+                return into.table(found) if into else materialize(spark, found, "components")
             now = nxt
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

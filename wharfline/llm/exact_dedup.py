@@ -101,11 +101,11 @@ def exact_groups(docs: DataFrame, from_files: bool = False, digest: Callable[[Co
     located = _located(rows, from_files)
     text = normalised(F.col("text"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("locator.file").alias("file"), F.col("locator.row").alias("row"))
-    fresh = located
+    fresh = located.select(digest(text).alias("digest"), first.alias("first"), "locator")
     if state_dir and exists(spark, f"{base}/index"):
         seen = spark.read.parquet(f"{base}/index").select(F.struct("first.file", "first.row").alias("seen"))
-        fresh = located.join(seen, F.col("locator") == F.col("seen"), "left_anti")
-    fresh.select(digest(text).alias("digest"), first.alias("first")).write.mode("append").parquet(f"{base}/index")
+        fresh = fresh.join(seen, F.col("locator") == F.col("seen"), "left_anti")
+    fresh.select("digest", "first").write.mode("append").parquet(f"{base}/index")
     _run_stream(spark, f"{base}/index", f"{base}/state", f"{base}/groups", **({"maxBytesPerTrigger": max_bytes} if max_bytes else {}))
     index = spark.read.parquet(f"{base}/index")
     # a digest is in each batch that changed it; its count only rises and its first row only falls
