@@ -193,6 +193,14 @@ def test_params_isolate_bad_pieces(spark):
     assert df.select(parse_params("p").alias("m")).first().m == {"d": "x=y", "a": "3"}
 
 
+def test_pages_by_key(spark):
+    df, last, seen = spark.range(23).toDF("id"), None, []
+    while rows := keyed.page_after(df, "id", 5, last).collect():
+        seen += [r.id for r in rows]
+        last = seen[-1]
+    assert seen == list(range(23))
+
+
 def test_partition_keys(spark):
     df = spark.createDataFrame([("2024-05-06",), ("2024/05/06",), ("20240506",), ("2024_05",), ("x",), (" ",), (None,)], "d string")
     got = [r.k for r in df.select(partition_key("d", F.to_timestamp(F.lit("2025-02-03"))).alias("k")).collect()]

@@ -116,6 +116,12 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> tuple[Da
     return rows, total.select(F.lit(number).alias("page"), F.lit(size).alias("size"), "total", pages.alias("total_pages"), (F.lit(number + 1) < pages).alias("has_next"))
 
 
+def page_after(df: DataFrame, key: str, size: int, last=None) -> DataFrame:
+    """The next page by a unique key, after the last key seen: no page costs more than the first, however deep."""
+    rows = df if last is None else df.filter(F.col(key) > last)
+    return rows.orderBy(key).limit(size)
+
+
 def key_diff(source: DataFrame, target: DataFrame, key: str = "business_key", sample: int | None = None) -> DataFrame:
     """Keys of one side only, with the side; ``sample`` limits each side to its first keys."""
     a, b = source.select(key).distinct(), target.select(key).distinct()
