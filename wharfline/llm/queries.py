@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wharfline.llm import ann, exact_dedup, licenses, line_dedup, mixing, packing, quality, secrets, simhash, token_output
+from wharfline.llm import alignment, ann, exact_dedup, licenses, line_dedup, merkle, mixing, packing, quality, secrets, sharding, simhash, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,21 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding_report(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality, op3_exact_dedup, op4_packing, op5_license_scan, op6_line_dedup, op7_simhash, op8_ann, op9_mixing, op10_token_output)}
+    numbered = (op1_secret_scan, op2_quality, op3_exact_dedup, op4_packing, op5_license_scan, op6_line_dedup, op7_simhash, op8_ann, op9_mixing, op10_token_output, op11_sharding, op12_manifest, op13_alignment)
+    return {f.__name__: f for f in numbered}
 
 
 OP3_SQL = r"""
