@@ -91,6 +91,33 @@ def test_line_numbers_over_splits(spark, lines):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_numbers_survive_another_split_planning(spark, tmp_path):
+    """Files are split by the cores that are there; lines planned with some and read with others keep their numbers."""
+    n = 1_000_000
+    for name, rows in (("a.txt", n), ("b.txt", 50_000)):
+        (tmp_path / name).write_text("".join(f"line {i}\n" for i in range(1, rows + 1)))
+    keys = {"spark.sql.leafNodeDefaultParallelism": ("3", "17"), "spark.sql.files.minPartitionNum": ("2", "40"), "spark.sql.files.maxPartitionBytes": ("2m", "300k")}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, (one, _) in keys.items():
+            spark.conf.set(k, one)
+        rows = text.numbered_lines(spark, str(tmp_path))
+        for k, (_, other) in keys.items():
+            spark.conf.set(k, other)
+        assert rows.filter(F.col("line") != F.concat(F.lit("line "), F.col("line_no").cast("string"))).count() == 0
+        assert rows.count() == n + 50_000 and rows.select("file", "line_no").distinct().count() == n + 50_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_line_without_an_offset_is_an_error(spark, tmp_path):
+    rows = spark.createDataFrame([("f", 0, 0, 1, 0, "a"), ("f", 9, 1, 1, 1 << 33, "b")], "file string, split long, task long, of long, at long, line string")
+    text.write_split_index(rows.filter("split = 0"), str(tmp_path / "index"))
+    with pytest.raises(Exception, match="a split without an offset: f"):
+        text.number(rows, spark.read.parquet(str(tmp_path / "index"))).collect()
+
+
 def test_import_twice_adds_nothing(spark, lines, tmp_path):
     path, out = lines("a.csv", "id,name,description", "1,Alice,x", "2,Bob,y"), str(tmp_path / "table")
     for _ in range(2):
@@ -150,6 +177,41 @@ def test_guard_refuses(spark, sql):
         tables.guarded_sql(spark, sql, {"t": df})
 
 
+HIDDEN = (
+    "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden",
+    "SELECT * FROM (WITH hidden AS (SELECT 1 AS id) SELECT * FROM hidden) a JOIN hidden b ON true",
+    "SELECT * FROM t WHERE id IN (SELECT id FROM hidden)",
+    "SELECT (SELECT max(id) FROM hidden) AS n FROM t",
+    "WITH a AS (SELECT id FROM t), b AS (SELECT id FROM hidden) SELECT * FROM a",
+    "SELECT * FROM t, hidden",
+    "SELECT * FROM t UNION ALL SELECT * FROM over_t",
+    "SELECT * FROM global_temp.t",
+)
+
+
+@pytest.mark.parametrize("sql", HIDDEN)
+def test_guard_hides_other_views(spark, sql):
+    """Views of the session that aren't allowed can't be read, under whatever name a statement gives its own clauses."""
+    spark.range(9).createOrReplaceTempView("hidden")
+    spark.range(9).createOrReplaceGlobalTempView("t")
+    spark.range(9).createOrReplaceTempView("over_t")
+    try:
+        with pytest.raises(ValueError, match="not allowed"):
+            tables.guarded_sql(spark, sql, {"t": spark.range(3)})
+    finally:
+        for name in ("hidden", "over_t"):
+            spark.catalog.dropTempView(name)
+        spark.catalog.dropGlobalTempView("t")
+
+
+def test_guard_leaves_no_views(spark):
+    spark.range(7).createOrReplaceTempView("mine")
+    df = tables.guarded_sql(spark, "SELECT count(*) AS n FROM mine JOIN other USING (id)", {"mine": spark.range(3), "other": spark.range(5)})
+    assert spark.table("mine").count() == 7 and not spark.catalog.tableExists("other")
+    assert df.first().n == 3
+    spark.catalog.dropTempView("mine")
+
+
 @pytest.mark.parametrize("sql", ["SELECT count(*) AS n FROM t", "WITH x AS (SELECT * FROM t) SELECT count(*) AS n FROM x", "SELECT count(*) AS n FROM t WHERE 'delete; --' != ''"])
 def test_guard_accepts(spark, sql):
     assert tables.guarded_sql(spark, sql, {"t": spark.range(3)}).first().n == 3

@@ -120,7 +120,6 @@ J13 = "SELECT r.partition_key, count(*) AS n, sum(CASE WHEN d.ack_required THEN
 add("J13_general_join", lambda t: tables.guarded_sql(t.spark, J13, {"records": t("records"), "dispatches": t("dispatches")}), J13.replace("sum(CASE", "CAST(sum(CASE").replace("END) AS required", "END) AS BIGINT) AS required"))
 A19 = "SELECT partition_key, description, count(DISTINCT name) AS names, grouping(description) AS g FROM records GROUP BY CUBE (partition_key, description)"
 add("A19_grouping_sets", lambda t: tables.guarded_sql(t.spark, A19, {"records": t("records")}).withColumn("g", F.col("g").cast("bigint")), A19)
-LISTING = "SELECT url AS path, CASE WHEN page_id % 9 = 0 THEN 0 ELSE length(html) END AS length FROM (SELECT CASE page_id % 3 WHEN 0 THEN url || '/' || CAST(page_id AS STRING) || '.csv' WHEN 1 THEN url || '/' || CAST(page_id AS STRING) || '.part' ELSE url || '/' || CAST(page_id - 2 AS STRING) || '.csv.done' END AS url, page_id, html FROM pages) AS p"
 
 
 def listing(t: Given) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,22 +43,56 @@ def check_statement(sql: str) -> None:
         raise ValueError(f"not allowed: {first}")
 
 
-def relations(spark: SparkSession, sql: str) -> set[str]:
-    """Tables that a statement reads, as the parsed plan names them; names of its own WITH clauses are left out."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    text = plan.toString()
-    names = set(re.findall(r"UnresolvedRelation \[([^\]]+)\]", text))
-    own = set(re.findall(r"\bCTE \[([^\]]*)\]", text))
-    ctes = {x.strip().lower() for group in own for x in group.split(",")}
-    return {n.replace(", ", ".").lower() for n in names} - ctes
+#: Leaves of a plan that read nothing: a row without a table, rows in the statement, numbers, a name of a WITH clause.
+HARMLESS = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef")
+
+
+def outside(plan, allowed: set[str]) -> set[str]:
+    """What an analysed plan reads beyond the temporary views named; subqueries and WITH clauses are parts of the plan.
+
+    Names count as they were resolved, whatever a statement calls its own clauses.
+    """
+    kind, found = plan.getClass().getSimpleName(), set()
+    if kind == "View":
+        name = plan.desc().identifier().unquotedString().lower()
+        if plan.isTempView() and name in allowed:
+            return set()
+        return {name}
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    inner = [plan.subqueries().apply(i) for i in range(plan.subqueries().size())]
+    if not below and kind not in HARMLESS:
+        found.add(plan.toString().strip()[:80])
+    return found.union(*(outside(x, allowed) for x in below + inner))
+
+
+@contextmanager
+def views(spark: SparkSession, frames: dict[str, DataFrame]) -> Iterator[None]:
+    """Temporary views for the time of one analysis; those that had the names come back."""
+    there = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(f"`{name}`") for name in frames if name.lower() in there}
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    try:
+        yield
+    finally:
+        for name in frames:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def guarded_sql(spark: SparkSession, sql: str, allowed: dict[str, DataFrame]) -> DataFrame:
-    """The result of one read-only statement over the allowed tables."""
+    """The result of one read-only statement over the allowed tables. No view of them stays in the session."""
     check_statement(sql)
-    outside = relations(spark, sql) - {a.lower() for a in allowed}
-    if outside:
-        raise ValueError(f"not allowed: {', '.join(sorted(outside))}")
-    for name, df in allowed.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    with views(spark, allowed):
+        try:
+            df = spark.sql(sql)
+        except AnalysisException as error:
+            if error.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+                raise ValueError(f"not allowed: {error.getMessageParameters()['relationName']}") from error
+            raise
+        beyond = outside(df._jdf.queryExecution().analyzed(), {a.lower() for a in allowed})
+    if beyond:
+        raise ValueError(f"not allowed: {', '.join(sorted(beyond))}")
+    return df

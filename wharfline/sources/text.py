@@ -26,23 +26,35 @@ class Parsed:
 MOST_SPLITS = 1_000_000
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line_no (from 1) and line. Counts the lines of each split at once; lines themselves are not shuffled."""
+def numbered_lines(spark: SparkSession, paths: str | list[str], into: str | None = None) -> DataFrame:
+    """file, line_no (from 1) and line. Lines are not shuffled.
+
+    How files are split depends on the cores that are there at the moment, so one scan writes lines and their splits
+    to a table of the shared folder, and both the index of splits and the numbers come from that table. A line without
+    an entry in the index is an error. into: where the two tables go, for callers that remove them.
+    """
+    path = into or shared_dir(spark, "lines")
     rows = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
     )
-    # a split's first id and size; one row for each split of a file
-    sizes = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = sizes.select(F.xxhash64("file").alias("of"), "split", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).alias("before"))
-    path = shared_dir(spark, "splits")
-    before.write.parquet(path)
-    before = spark.read.schema(before.schema).parquet(path)
-    if before.count() <= MOST_SPLITS:
-        before = F.broadcast(before)
-    # a split is known by its file's hash, its start and the numbers of its task's rows
-    rows = rows.withColumn("of", F.xxhash64("file")).withColumn("task", F.shiftright("at", 33))
-    before = before.withColumn("task", F.shiftright("first", 33))
-    return rows.join(before, ["of", "split", "task"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+    rows.write.parquet(f"{path}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/rows").withColumn("of", F.xxhash64("file")).withColumn("task", F.shiftright("at", 33))
+    write_split_index(rows, f"{path}/index")
+    return number(rows, spark.read.parquet(f"{path}/index"))
+
+
+def write_split_index(rows: DataFrame, path: str) -> None:
+    """For each split of a file, known by the file's hash, its start and the task that read it: its first row and the lines before it."""
+    sizes = rows.groupBy("of", "split", "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("of").orderBy("split", "first")) - F.col("n")
+    sizes.select("of", "split", "task", "first", before.alias("before")).write.parquet(path)
+
+
+def number(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Lines with the number that the index of splits gives them."""
+    index = F.broadcast(index) if index.count() <= MOST_SPLITS else index
+    known = F.coalesce("before", F.raise_error(F.concat(F.lit("a split without an offset: "), F.col("file"))).cast("bigint"))
+    return rows.join(index, ["of", "split", "task"], "left").select("file", (known + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def _split_good(rows: DataFrame, error: Column) -> Parsed:

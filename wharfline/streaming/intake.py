@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wharfline.operators.intake import import_trace
 from wharfline.plans.jobs import import_records
 from wharfline.plans.sinks import merge_into, read_partitioned, write_dlq
+from wharfline.shared import remove, shared_dir
 from wharfline.sources.documents import stream_files
 from wharfline.sources.text import numbered_lines, parse_delimited
 
@@ -23,8 +24,16 @@ def import_batch(spark: SparkSession, batch: DataFrame, out: str, batch_date: st
         raise ValueError("too many files in a micro-batch; set maxFilesPerTrigger")
     if not files:
         return
+    lines = shared_dir(spark, "lines")
+    try:
+        _import_lines(spark, numbered_lines(spark, files, lines), out, batch_date, delimiter)
+    finally:
+        remove(spark, lines)
+
+
+def _import_lines(spark: SparkSession, lines: DataFrame, out: str, batch_date: str, delimiter: str) -> None:
     as_of = F.to_timestamp(F.lit(batch_date))
-    job = import_records(parse_delimited(numbered_lines(spark, files), delimiter), F.lit(batch_date), as_of)
+    job = import_records(parse_delimited(lines, delimiter), F.lit(batch_date), as_of)
     merge_into(spark, f"{out}/records", job.records, ["file", "line_no"])
     # a record that is there was imported, by this try or by one that ended before its trace was written
     table = read_partitioned(spark, f"{out}/records", job.records.schema)
