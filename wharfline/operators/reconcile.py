@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.functions.text import business_key, has_text, jtrim
+from wharfline.operators.hashtree import differing_keys
 from wharfline.operators.keyed import key_diff
 from wharfline.operators.measures import share
+from wharfline.operators.ordering import ordered_md5
 
 
 def canonical(df: DataFrame, key: Column | str = "business_key", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -23,15 +25,6 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"))
 
 
-def ordered_md5(rows: DataFrame, most_rows: int = 100_000, by: tuple[str, ...] = ()) -> DataFrame:
-    """MD5 of the sorted rows, a newline after each, over all or for each value of ``by``; groups are bounded, larger ones are an error."""
-    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) > most_rows:
-        raise ValueError(f"more than {most_rows} rows; use the fingerprint")
-    lines = F.array_sort(F.collect_list("row"))
-    return rows.groupBy(*by).agg(F.md5(F.concat(F.array_join(lines, "\n"), F.when(F.count("*") > 0, "\n").otherwise("")).cast("binary")).alias("hash"))
-
-
 def reconcile_counts(source: DataFrame, target: DataFrame, date: str) -> DataFrame:
     a = source.agg(F.count("*").alias("source_count"))
     b = target.filter(F.col("batch_date") == date).agg(F.count("*").alias("target_count"))
@@ -41,7 +34,7 @@ def reconcile_counts(source: DataFrame, target: DataFrame, date: str) -> DataFra
 
 
 def reconcile_hash(source: DataFrame, target: DataFrame, date: str, exact: bool = False) -> DataFrame:
-    """PASS if both sides hold the same rows in any order and number."""
+    """PASS if both sides hold the same rows, in any order. exact: by the digest of the sorted rows, of any number."""
     key = business_key(F.lit(date), F.upper(jtrim("name")))
     a, b = canonical(source, key), canonical(target.filter(F.col("batch_date") == date))
     if exact:
@@ -53,13 +46,18 @@ def reconcile_hash(source: DataFrame, target: DataFrame, date: str, exact: bool
 
 
 def reconcile(source: DataFrame, target: DataFrame, date: str, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(run, differences): one row of counts, hashes and status, and the keys of one side only."""
+    """(run, differences): one row of counts, hashes and status, and the keys of one side only.
+
+    Differences come from a comparison of hash trees, which joins rows of unlike ranges only; a sample of the first keys
+    of each side needs the keys in order and joins all.
+    """
     counts, hashes = reconcile_counts(source, target, date), reconcile_hash(source, target, date)
     run = counts.withColumnsRenamed({"status": "count_status"}).crossJoin(F.broadcast(hashes.withColumnRenamed("status", "hash_status")))
     ok = (F.col("count_status") == "PASS") & (F.col("hash_status") == "PASS")
     run = run.select("source_count", "target_count", "source_hash", "target_hash", F.when(ok, "PASS").otherwise("FAIL").alias("status"), "message")
     keyed = source.filter(has_text("name")).select(business_key(F.lit(date), F.upper(jtrim("name"))).alias("business_key"))
-    return run, key_diff(keyed, target.filter(F.col("batch_date") == date), sample=sample)
+    rows = target.filter(F.col("batch_date") == date)
+    return run, key_diff(keyed, rows, sample=sample) if sample else differing_keys(keyed, rows)
 
 
 def _gate(kind: str, df: DataFrame, status: Column, rate: Column, most: float, *others: str) -> DataFrame:

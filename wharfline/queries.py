@@ -13,7 +13,7 @@ from wharfline.functions import calendar as cal
 from wharfline.functions import mapping as mp
 from wharfline.functions import status as st
 from wharfline.functions import text as tx
-from wharfline.operators import alerts, filters, graph, intake, keyed, measures, reconcile, replay
+from wharfline.operators import alerts, filters, graph, hashtree, intake, keyed, measures, ordering, reconcile, replay
 from wharfline.plans import jobs, sinks
 from wharfline.shared import shared_dir
 from wharfline.sources import documents, tables, text
@@ -402,7 +402,11 @@ add("A13_rollup_dag", lambda t: measures.rollup_dag(t("audits").withColumn("run_
 add("A14_coverage", lambda t: measures.coverage(t("queue")).withColumn("coverage", F.round("coverage", 9)), "SELECT count(*) AS total, count(file_record_id) AS linked, round(count(file_record_id) * 100.0 / count(*), 9) AS coverage, count(file_record_id) = count(*) AS ready FROM queue")
 add("A15_export_stats", lambda t: jobs.export_summary(marked(t)).withColumn("success_rate", F.round("success_rate", 9)), "SELECT count(*) AS processed, count(*) FILTER (WHERE id % 6 < 2) AS filtered, CAST(0 AS BIGINT) AS errors, count(*) FILTER (WHERE id % 6 > 1) AS transformed, round(count(*) FILTER (WHERE id % 6 > 1) * 100.0 / count(*), 9) AS success_rate FROM records")
 add("A16_content_fingerprint", lambda t: measures.content_fingerprint(t("documents"), "text"))
-add("A17_ordered_md5", lambda t: reconcile.ordered_md5(reconcile.canonical(t("records"), keep=("batch_date",)), by=("batch_date",)), "SELECT batch_date, md5(string_agg(business_key || ',' || name || ',' || description, chr(10) ORDER BY business_key || ',' || name || ',' || description) || chr(10)) AS hash FROM records GROUP BY batch_date")
+add("A17_ordered_md5", lambda t: ordering.ordered_md5(reconcile.canonical(t("records"), keep=("batch_date",)), by=("batch_date",)), "SELECT batch_date, md5(string_agg(business_key || ',' || name || ',' || description, chr(10) ORDER BY business_key || ',' || name || ',' || description) || chr(10)) AS hash FROM records GROUP BY batch_date")
+TREE = """WITH RECURSIVE t AS (SELECT 0 AS level, row_number() OVER (ORDER BY r) - 1 AS place, r AS row, count(*) OVER () AS n FROM (SELECT business_key || ',' || name || ',' || description AS r FROM records) AS c
+    UNION ALL SELECT level + 1, place // 256, md5(string_agg(row, chr(10) ORDER BY place) || chr(10)), (n + 255) // 256 FROM t WHERE level = 0 OR n > 1 GROUP BY level, place // 256, n)
+    SELECT row AS hash FROM t WHERE level > 0 AND n = 1"""
+add("A17_tree_digest", lambda t: ordering.ordered_md5(reconcile.canonical(t("records")), run=256), TREE)
 add("A18_verify_counts", lambda t: measures.verify_counts({"records": t("records"), "raw": t("raw")}, "1997-05-01"), "SELECT 'records' AS name, count(*) AS n FROM records WHERE batch_date = '1997-05-01' UNION ALL SELECT 'raw', count(*) FROM raw WHERE batch_date = '1997-05-01'")
 add("A20_pending_count", lambda t: measures.pending_count(t("files"), 24, at(FILES_NOW)), "SELECT count(*) AS pending FROM files WHERE status IN ('ARRIVED', 'READY') AND arrived_at < TIMESTAMP '2024-01-01 12:00:00'")
 add("A21_params_to_map", lambda t: measures.params_to_map(t("lineitem").select(F.col("l_orderkey").alias("task_id"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_returnflag").alias("value")).groupBy("task_id", "name").agg(F.max("value").alias("value"))).select("task_id", "text", F.size("params").alias("n")), "SELECT task_id, string_agg(name || '=' || value, '&' ORDER BY name) AS text, CAST(count(*) AS INT) AS n FROM (SELECT l_orderkey AS task_id, 'p' || CAST(l_linenumber AS STRING) AS name, max(l_returnflag) AS value FROM lineitem GROUP BY 1, 2) AS p GROUP BY task_id")
@@ -443,7 +447,30 @@ DAY = "1997-05-01"
 source_day = lambda t: t("raw").filter(F.col("batch_date") == DAY)
 add("R1_reconcile_counts", lambda t: reconcile.reconcile_counts(source_day(t), t("target"), DAY), f"SELECT a.n AS source_count, b.n AS target_count, CASE WHEN a.n = b.n THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN a.n = b.n THEN 'OK' ELSE 'source=' || CAST(a.n AS STRING) || ' target=' || CAST(b.n AS STRING) END AS message FROM (SELECT count(*) AS n FROM raw WHERE batch_date = '{DAY}') AS a, (SELECT count(*) AS n FROM target WHERE batch_date = '{DAY}') AS b")
 add("R2_reconcile_hash", lambda t: reconcile.reconcile_hash(t("records").filter(F.col("batch_date") == DAY), t("target"), DAY, exact=True), f"SELECT a.h AS source_hash, b.h AS target_hash, CASE WHEN a.h = b.h THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT md5(string_agg(r, chr(10) ORDER BY r) || chr(10)) AS h FROM (SELECT business_key || ',' || name || ',' || description AS r FROM records WHERE batch_date = '{DAY}') AS x) AS a, (SELECT md5(string_agg(r, chr(10) ORDER BY r) || chr(10)) AS h FROM (SELECT business_key || ',' || name || ',' || description AS r FROM records WHERE batch_date = '{DAY}' AND id % 97 <> 0) AS x) AS b")
-add("R2_fingerprint", lambda t: reconcile.reconcile_hash(t("records").filter(F.col("batch_date") == DAY), t("records"), DAY).select("status"), "SELECT 'PASS' AS status")
+def fingerprints_of_two(t: Given) -> DataFrame:
+    """The whole table against itself, and against one that lacks some rows and has others changed."""
+    sides = [t("records"), t("target"), t("records").withColumn("description", F.when(F.col("id") % 501 == 7, "x").otherwise(F.col("description")))]
+    said = [reconcile.fingerprint(reconcile.canonical(x)).select(F.struct("n", "hash_sum").alias("h")) for x in (t("records").repartition(7), *sides)]
+    rows = [said[0].select(F.col("h").alias("g")).crossJoin(F.broadcast(x)).select(F.lit(n).alias("side"), (F.col("g") == F.col("h")).alias("same"), F.col("h.n").alias("n")) for n, x in enumerate(said[1:])]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+add("R2_fingerprint", fingerprints_of_two, "SELECT 0 AS side, true AS same, count(*) AS n FROM records UNION ALL SELECT 1, count(*) FILTER (WHERE id % 97 = 0) = 0, count(*) FILTER (WHERE id % 97 <> 0) FROM records UNION ALL SELECT 2, count(*) FILTER (WHERE id % 501 = 7 AND description <> 'x') = 0, count(*) FROM records")
+add("R3_differing_ranges", lambda t: hashtree.differing_keys(renamed(t, 500), t("target")), "SELECT CASE WHEN id % 500 = 0 THEN business_key || 'x' ELSE business_key END AS business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE id % 500 = 0 OR id % 97 = 0 UNION ALL SELECT business_key, 'TARGET_ONLY' FROM records WHERE id % 500 = 0 AND id % 97 <> 0")
+
+
+def stored_ranges(t: Given) -> DataFrame:
+    """Both sides stored by ranges; the rows of unlike ranges of one are read back, and those that the other lacks stay."""
+    path = t.folder("ranges")
+    source, target = t("records").select("business_key", "id", "description"), t("records").filter("id % 5003 <> 11").select("business_key", "id", "description")
+    text_of = F.concat_ws(",", "business_key", F.col("id").cast("string"), "description")
+    a, b = (hashtree.write_tree(x.withColumn("row", text_of), f"{path}/{n}", row="row", depth=3) for n, x in (("a", source), ("b", target)))
+    hashtree.store_ranges(source, f"{path}/rows", depth=3)
+    rows = hashtree.read_ranges(t.spark, f"{path}/rows", hashtree.unlike_ranges(a, b, 3))
+    return rows.join(hashtree.unlike_rows(target, hashtree.unlike_ranges(a, b, 3), depth=3).select("business_key"), "business_key", "left_anti").select("business_key", "id", "description")
+
+
+add("R3_stored_ranges", stored_ranges, "SELECT business_key, id, description FROM records WHERE id % 5003 = 11")
 add("R3_reconcile", lambda t: reconcile.reconcile(t("records").filter(F.col("batch_date") == DAY), t("target"), DAY)[1], f"SELECT business_key, 'SOURCE_ONLY' AS diff_type FROM records WHERE batch_date = '{DAY}' AND id % 97 = 0")
 add("R3_reconcile_run", lambda t: reconcile.reconcile(t("records").filter(F.col("batch_date") == DAY), t("target"), DAY)[0].select("source_count", "target_count", "status"), f"SELECT count(*) AS source_count, count(*) FILTER (WHERE id % 97 <> 0) AS target_count, CASE WHEN count(*) FILTER (WHERE id % 97 = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM records WHERE batch_date = '{DAY}'")
 job_counts = lambda t: t("runs").groupBy("job_name").agg(F.sum("read_count").alias("read_count"), F.sum("parse_error_count").alias("parse_error_count"))
