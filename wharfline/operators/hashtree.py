@@ -48,10 +48,11 @@ def tree(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
 def write_tree(rows: DataFrame, path: str, key: str = "business_key", row: str | None = None, depth: int = DEPTH) -> DataFrame:
     """The tree of a table, written and read back; at most 16 ** depth ranges and what stands above."""
     spark = rows.sparkSession
-    leaf_digests(rows, key, row, depth).write.parquet(f"{path}/leaves")
-    nodes = tree(spark.read.parquet(f"{path}/leaves"), depth)
+    leaves = leaf_digests(rows, key, row, depth)
+    leaves.write.parquet(f"{path}/leaves")
+    nodes = tree(spark.read.schema(leaves.schema).parquet(f"{path}/leaves"), depth)
     nodes.write.partitionBy("level").parquet(f"{path}/tree")
-    return spark.read.parquet(f"{path}/tree")
+    return spark.read.schema(nodes.schema).parquet(f"{path}/tree")
 
 
 def root(nodes: DataFrame) -> DataFrame:
