@@ -487,22 +487,32 @@ def test_queries(spark):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
-def test_footrule():
+@pytest.mark.parametrize("pivots", [40, 256])
+@pytest.mark.filterwarnings("error::RuntimeWarning")
+def test_footrule(pivots):
     """Shared pivots lower the footrule distance of two truncated orders by twice what the files add up."""
     rng = np.random.default_rng(4)
-    order = np.stack([rng.permutation(40)[:9] for _ in range(60)]).astype(np.uint8)
+    order = np.stack([rng.permutation(pivots)[:9] for _ in range(60)]).astype(np.uint8)
+    order[:20, 3] = pivots - 1  # the last file too
+    order = np.stack([o if len(set(o)) == 9 else np.append(rng.permutation(pivots - 1)[:8], pivots - 1) for o in order]).astype(np.uint8)
     files = ann.Files(order)
+    assert sum(files.ends[p + 1] - files.ends[p] for p in range(256)) == order.size
     for own in order[:10]:
         gain = files.shared(own)
         for row, other in enumerate(order):
             place = lambda o, p: list(o).index(p) if p in o else 9
-            distance = sum(abs(place(own, p) - place(other, p)) for p in range(40))
+            distance = sum(abs(place(own, p) - place(other, p)) for p in range(pivots))
             assert distance == 2 * (45 - gain[row])
 
 
+def test_more_pivots_than_a_byte_are_refused(spark):
+    with pytest.raises(ValueError, match="256 at most"):
+        ann.search(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), "true", pivots=257)
+
+
 @pytest.mark.parametrize("block_rows", [500, 16_384])
 def test_recall(spark, block_rows):
     data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 from wharfline.llm.workdir import materialize
 
 PIVOTS, PREFIX = 256, 48
+MOST_PIVOTS = 256
 #: Share of a block that is reranked, the same at every size of a table.
 RERANK = 0.2
 #: Vectors of a block of the index, and queries of a block.
 BLOCK_ROWS, QUERY_BLOCK = 16_384, 4096
+#: Bytes of vectors of a block, which long ones reach with fewer rows.
+BLOCK_BYTES = 64 << 20
 SALTS = 32
 
 
@@ -83,7 +86,7 @@ class Files:
     def shared(self, own: np.ndarray) -> np.ndarray:
         """By how much the footrule distance to each row is less than that of orders without a common pivot, halved."""
         out = np.zeros(self.n, np.int32)
-        for place, pivot in enumerate(own):
+        for place, pivot in enumerate(own.tolist()):  # Python's numbers, since a byte can't count on from 255
             at = slice(self.ends[pivot], self.ends[pivot + 1])
             out[self.rows[at]] += self.prefix - np.maximum(self.places[at], place)  # a row is in a file once
         return out
@@ -101,6 +104,8 @@ def block_search(query_order: np.ndarray, queries: np.ndarray, files: Files, vec
 
 def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of the other rows, for each row that ``queries_where`` names (of ``vec_id``)."""
+    if not 1 <= pivots <= MOST_PIVOTS:
+        raise ValueError(f"pivots are numbered by a byte: {MOST_PIVOTS} at most")
     spark = rows.sparkSession
     # two hashes of the vector, so that unlike vectors don't become one node
     vectors = materialize(spark, usable(rows, id_column, vector).withColumn("node", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "v")))), "ann")
@@ -115,8 +120,9 @@ def search(rows: DataFrame, queries_where: str, k: int = 5, id_column: str = "ve
     members = materialize(spark, members, "ann")
     nodes = materialize(spark, vectors.groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.max(F.expr(queries_where)).alias("asked")), "ann")
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(min(pivots, 256)).select("v").toPandas()
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(7)), "node").limit(pivots).select("v").toPandas()
     index = materialize(spark, build_index(nodes, unit(np.array(sample["v"].tolist())), prefix), "ann")
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * common.n)))
     blocks, parts = max(1, -(-n // block_rows)), max(1, -(-index.filter("asked").count() // QUERY_BLOCK))
     spread = lambda column, count: F.pmod(F.xxhash64(column, F.lit(3)), F.lit(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
