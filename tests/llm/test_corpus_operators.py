@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wharfline.llm import ann, exact_dedup, licenses, line_dedup, mixing, simhash
+from wharfline.llm import ann, exact_dedup, licenses, line_dedup, mixing, shingles, simhash
 from wharfline.llm.components import components
 
 
@@ -177,21 +177,18 @@ def test_lines(spark):
 
 
 def brute_shingles(line, size=12):
-    """Twelve characters from the start of each word and from each eighth character of longer words."""
-    if len(line.encode()) > 2 * len(line):
-        line = "".join(c + " " if ord(c) > 0x2E7F else c for c in line)
-    words = line.split(" ")
-    return {" ".join(words[k: k + 3])[at: at + size] for k, w in enumerate(words) for at in range(0, max(1, len(w) - 4), 8)}
+    """All stretches of twelve characters; a shorter line is one."""
+    return {line[at: at + size] for at in range(max(1, len(line) - size + 1))}
 
 
 @given(st.text(alphabet=st.sampled_from([*"abcXYZ019 .,-_/\t\r", "é", "Ж", "漢", "字", "ー", "\U0001f600"]), min_size=1, max_size=60))
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_shingles(spark, line):
-    df = spark.createDataFrame([(line,)], "line string")
-    assert {r.shingle for r in line_dedup.shingle_rows(df).collect()} == brute_shingles(line)
-    hashes = {r.h for r in line_dedup.shingle_rows(df).select(F.xxhash64("shingle").alias("h")).collect()}
-    got = line_dedup.shingle_sets(df).first().shingles
-    assert set(got) == hashes and len(got) == len(hashes)
+    own = brute_shingles(line)
+    got = line_dedup.shingle_sets(spark.createDataFrame([(1, line), (2, line + "!"), (3, "x")], "id long, line string"), "id").collect()
+    by = {r.id: set(r.shingles) for r in got}
+    assert all(len(r.shingles) == len(by[r.id]) for r in got)
+    assert len(by[1]) == len(own) and len(by[1] & by[2]) == len(own & brute_shingles(line + "!"))
 
 
 def test_lines_against_brute_force(spark):
@@ -249,13 +246,14 @@ def test_lines_of_a_common_passage(spark):
     lines = [line for pair in edited_lines(random.Random(5), 900, 100, 160, 0.6) for line in pair]
     sets = [brute_shingles(line) for line in lines]
     bands = banded(spark, lines)
-    like = [(i, j) for j in range(len(lines)) for i in range(j) if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    root = union(len(lines), like)
+    alike = [(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    like = [(i, j) for i, j in alike if bands[i] & bands[j]]
+    root, whole = union(len(lines), like), union(len(lines), alike)
     assert sum(len(bands[i] & bands[j]) == 1 for i, j in like) > 5
     docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
     got = {r.doc_id for r in line_dedup.dropped_lines(docs).collect()}
-    # each similar pair that meets in any band is found, whatever the bucket's centre
-    assert got == {i for i, r in enumerate(root) if r != i}
+    # each similar pair that meets in any band is found, whatever the bucket's centre, and nothing but similar pairs
+    assert {i for i, r in enumerate(root) if r != i} <= got <= {i for i, r in enumerate(whole) if r != i}
 
 
 @pytest.mark.parametrize("low, high", [(40, 90), (90, 150), (150, 300)])
@@ -266,6 +264,32 @@ def test_fuzzy_lines_meet(spark, low, high):
     assert met >= 0.98 * len(pairs), met
 
 
+THAI = "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนหรือวรรณยุกต์เช่นเดียวกับภาษาจีน"
+
+
+@pytest.mark.parametrize("line", ["".join(random.Random(8).choices("abcdefghij", k=300)), "\t".join(f"w{i * 7919 % 1000}" for i in range(40)), THAI * 3, "https://example.org/" + "/".join(f"{i * i:x}" for i in range(60)), "".join(map(chr, random.Random(2).choices(range(0x4E00, 0x9FA0), k=200)))])
+def test_any_insertion_is_a_near_copy(documents, line):
+    """Lines without words: a character in front, in the middle or at the end moves no other shingle."""
+    copies = [line, "X" + line, line[:70] + "X" + line[70:], line + "XY"]
+    sets = [brute_shingles(c) for c in copies]
+    assert all(len(sets[0] & x) >= 0.8 * len(sets[0] | x) for x in sets)
+    docs = documents(*enumerate(copies, 1), (5, "another line, quite unlike the ones above"))
+    assert {r.doc_id for r in line_dedup.dropped_lines(docs).collect()} == {2, 3, 4}
+
+
+def test_window_hashes_of_blocks(spark, monkeypatch):
+    """Equal stretches have equal hashes wherever they stand, unlike ones unlike hashes."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("abcé漢\U0001f600 ", k=rng.choice([1, 5, 11, 12, 13, 40, 3000]))) for _ in range(60)]
+    hashes, starts = shingles.window_hashes(lines, 12)
+    ends = [*starts[1:], len(hashes)]
+    known = {}
+    for line, i, j in zip(lines, starts, ends, strict=True):
+        own = [line[at: at + 12] for at in range(max(1, len(line) - 11))]
+        assert len(own) == j - i and all(known.setdefault(t, h) == h for t, h in zip(own, hashes[i:j].tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+
+
 def test_lines_odd(odd, empty):
     assert line_dedup.line_report(odd).count() == 9
     assert line_dedup.line_report(empty).count() == 0
