@@ -16,7 +16,7 @@ from wharfline.functions import text as tx
 from wharfline.operators import alerts, filters, graph, hashtree, intake, keyed, measures, ordering, reconcile, replay
 from wharfline.plans import jobs, sinks
 from wharfline.shared import shared_dir
-from wharfline.sources import documents, tables, text
+from wharfline.sources import documents, tables, text, textindex
 from wharfline.streaming import intake as stream_intake
 from wharfline.streaming import requests, states
 
@@ -325,6 +325,18 @@ add("F15_stale_states", lambda t: filters.stale_states(t("states"), 86_400_000,
 add("F15_stale_dlq", lambda t: filters.stale_states(t("states"), 86_400_000, at(EVENTS_NOW))[1], f"SELECT task_id AS job_name, 'batchDate=' || batch_date || '&rerunId=' AS params, 'STALE_STATE' AS error_code, true AS retryable {STALE}")
 add("F16_misfires", lambda t: filters.misfires(t("states"), at("2024-01-20")).select("task_id", "batch_date"), "SELECT task_id, batch_date FROM states WHERE status = 'READY' AND next_retry_at < TIMESTAMP '2024-01-20' ORDER BY next_retry_at, task_id LIMIT 100")
 add("F17_contains_text", lambda t: filters.contains_text(t("dlq"), "params", "000012").select("id"), "SELECT id FROM dlq WHERE contains(params, '000012')")
+
+
+def found_by_index(t: Given) -> DataFrame:
+    """Texts looked up in whole documents by the index of trigrams, a rare and a frequent one among them."""
+    path = t.folder("index")
+    textindex.build_index(t("documents").select("doc_id", "text"), "text", path)
+    parts = [textindex.find(t.spark, path, "text", needle).select(F.lit(needle).alias("needle"), "doc_id") for needle in NEEDLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+NEEDLES = ("password", "License, Version", "the ")
+add("F17_indexed_search", found_by_index, " UNION ALL ".join(f"SELECT '{n}' AS needle, doc_id FROM documents WHERE contains(text, '{n}')" for n in NEEDLES))
 add("F18_search_files", lambda t: filters.search_files(t("files"), source="src3", date="2024-01-02").select("id"), "SELECT id FROM files WHERE source_system = 'src3' AND batch_date = '2024-01-02'")
 CAL = cal.Calendar(("2024-01-15", "01-20"), True, (("22:00:00", "05:30:00"), ("12:00:00", "12:59:59")))
 EXCLUDED = "(strftime({c}, '%Y-%m-%d') = '2024-01-15' OR strftime({c}, '%m-%d') = '01-20' OR dayofweek({c}) IN (0, 6) OR strftime({c}, '%H:%M:%S') >= '22:00:00' OR strftime({c}, '%H:%M:%S') <= '05:30:00' OR strftime({c}, '%H:%M:%S') BETWEEN '12:00:00' AND '12:59:59')"
