@@ -205,3 +205,24 @@ def test_partition_keys(spark):
     df = spark.createDataFrame([("2024-05-06",), ("2024/05/06",), ("20240506",), ("2024_05",), ("x",), (" ",), (None,)], "d string")
     got = [r.k for r in df.select(partition_key("d", F.to_timestamp(F.lit("2025-02-03"))).alias("k")).collect()]
     assert got == ["2024_05", "2024_05", "2024_05", "2024_05", "x", "2025_02", "2025_02"]
+
+
+def test_request_state_stays_small(spark, tmp_path):
+    """Keys that come once each: after many micro-batches the state holds those of the last two buckets only."""
+    from wharfline.streaming.requests import stream_requests
+
+    for n in range(8):
+        rows = [(f"k{n}-{i}", datetime(2024, 1, 1, n, i), n * 100 + i) for i in range(50)]
+        spark.createDataFrame(rows, "dedup_key string, ts timestamp, request_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("dedup_key string, ts timestamp, request_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream_requests(stream, 3600).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
+    # a row of state and its timer's rows for each key of two buckets or three
+    assert max(kept[4:]) <= max(kept[:4]), kept

@@ -576,6 +576,29 @@ def as_stream(t: Given, df: DataFrame) -> DataFrame:
     return t.spark.readStream.schema(df.schema).parquet(path)
 
 
+#: Micro-batches of a stream in order of time, and files of each.
+SLICES, FILES = 4, 3
+
+
+def in_slices(t: Given, df: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """A stream of ``df`` in several micro-batches, later rows in later ones; ``last`` comes in one after them and moves the watermark."""
+    path = t.folder("events")
+    df.write.parquet(f"{path}/whole")
+    whole = t.spark.read.schema(df.schema).parquet(f"{path}/whole")
+    micros = whole.select(F.unix_micros("ts").cast("double").alias("us"))
+    bounds = [float("-inf"), *micros.approxQuantile("us", [n / SLICES for n in range(1, SLICES)], 0.01), float("inf")]
+    slices = [whole.filter((F.unix_micros("ts") >= low) & (F.unix_micros("ts") < high)) for low, high in zip(bounds, bounds[1:], strict=False)]
+    for rows in [*slices, *([last.select(*df.columns)] if last is not None else [])]:
+        rows.repartition(FILES).write.mode("append").parquet(f"{path}/stream")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/stream")
+
+
+def ending(df: DataFrame, ts: str, **values) -> DataFrame:
+    """One row like those of ``df``, at a time that ends all windows and timers before it."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.sparkSession.range(1).select(*(at(ts).alias(c) if c == "ts" else F.lit(values.get(c)).cast(k).alias(c) for c, k in kinds.items()))
+
+
 def drain(t: Given, stream: DataFrame) -> DataFrame:
     out = t.folder("stream")
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -588,7 +611,7 @@ def drain(t: Given, stream: DataFrame) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-add("T1_stream_requests", lambda t: drain(t, requests.stream_requests(as_stream(t, requests_of(t)), 86_400)), accepted(86_400))
+add("T1_stream_requests", lambda t: drain(t, requests.stream_requests(in_slices(t, requests_of(t)), 86_400)), accepted(86_400))
 add("T2_dedup_stream", lambda t: drain(t, requests.dedup_stream(as_stream(t, requests_of(t)), ["dedup_key"], "ts", "400 days")).select("dedup_key"), "SELECT DISTINCT CAST(user_id AS STRING) || '/' || event_type AS dedup_key FROM events")
 
 
@@ -630,6 +653,36 @@ add("T6_stream_breaker", lambda t: drain(t, states.stream_breaker(as_stream(t, r
 add("T7_coalesce_events", lambda t: requests.coalesce_events(requests_of(t), "dedup_key", "ts", "request_id", "1 hour").select("dedup_key", F.unix_seconds("window_start").alias("s"), "n", F.element_at("items", 1).alias("first")), "SELECT CAST(user_id AS STRING) || '/' || event_type AS dedup_key, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS s, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2")
 
 
+def streamed_counts(t: Given) -> DataFrame:
+    rows = t("audits").select(F.col("created_at").alias("ts"), "status")
+    counts = drain(t, requests.stream_status_counts(in_slices(t, rows, ending(rows, "2030-01-01")), "ts", "1 hour"))
+    return counts.select(F.unix_seconds("window_start").alias("s"), "status", "n")
+
+
+add("T4_stream_counts", streamed_counts)
+SQL["T4_stream_counts"] = SQL["T4_status_counts"]
+
+
+def streamed_timeouts(t: Given) -> DataFrame:
+    rows = timed(t).select(F.col("user_id").cast("string").alias("key"), "ts", "kind")
+    # a minute more than the time at which they are asked for, by which the watermark lags behind
+    due = drain(t, states.stream_timeouts(in_slices(t, rows, ending(rows, "2024-01-31 00:01:00", key="-", kind="END")), 60 * 24))
+    return due.select(F.col("key").cast("bigint").alias("user_id"), (F.col("due_ms") - 86_400_000).alias("started"))
+
+
+add("T5_stream_timeouts", streamed_timeouts)
+SQL["T5_stream_timeouts"] = SQL["T5_timeouts"]
+
+
+def streamed_coalesced(t: Given) -> DataFrame:
+    rows = drain(t, requests.coalesce_events(in_slices(t, requests_of(t), ending(requests_of(t), "2030-01-01")), "dedup_key", "ts", "request_id", "1 hour"))
+    return rows.select("dedup_key", F.unix_seconds("window_start").alias("s"), "n", F.element_at("items", 1).alias("first"))
+
+
+add("T7_stream_coalesced", streamed_coalesced)
+SQL["T7_stream_coalesced"] = SQL["T7_coalesce_events"]
+
+
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, distinct keys and duplicates of an import by partition."""
     t = Given(spark, sf_dir)

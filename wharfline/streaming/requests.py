@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +32,17 @@ def dedup_requests(df: DataFrame, keys: list[str], ts: str, tie: str, seconds: i
 
 
 class _Accept(StatefulProcessor):
-    """Keeps the last accepted bucket of a key."""
+    """Keeps the last accepted bucket of a key until no request can fall into it or the next one."""
+
+    def __init__(self, seconds: int):
+        self.ms = seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("bucket", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0] if self.last.exists() else None
+        known = last = self.last.get()[0] if self.last.exists() else None
         first: dict[int, tuple] = {}  # of each bucket, so that a key's requests needn't be held
         for part in rows:
             part = part.sort_values(["us", "request_id"]).drop_duplicates("bucket")
@@ -48,22 +53,30 @@ class _Accept(StatefulProcessor):
             if last is None or bucket not in (last, last + 1):
                 last = bucket
                 out.append((key[0], bucket, first[bucket][1]))
-        if last is not None:
+        if last != known:
+            if known is not None:
+                self.handle.deleteTimer((known + 2) * self.ms)
             self.last.update((last,))
+            self.handle.registerTimer((last + 2) * self.ms)
         yield pd.DataFrame(out, columns=["dedup_key", "bucket", "request_id"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame({"dedup_key": np.empty(0, object), "bucket": np.empty(0, np.int64), "request_id": np.empty(0, np.int64)})
+
     def close(self) -> None:
         pass
 
 
-def stream_requests(df: DataFrame, seconds: int) -> DataFrame:
+def stream_requests(df: DataFrame, seconds: int, late: str = "1 minute") -> DataFrame:
     """The same over a stream of dedup_key, ts and request_id: each micro-batch in order of time.
 
-    The state is one number for each key; it has no end, since a key may come back at any time.
+    The state is one number for each key that was accepted in the last two buckets; an event-time timer ends it, so its size
+    follows the rate of keys and not the length of the stream. Requests later than ``late`` are dropped.
     """
-    df = df.select("dedup_key", bucket_of("ts", seconds).alias("bucket"), F.unix_micros("ts").alias("us"), "request_id")
+    df = df.withWatermark("ts", late).select("dedup_key", "ts", bucket_of("ts", seconds).alias("bucket"), F.unix_micros("ts").alias("us"), "request_id")
     schema = T.StructType([T.StructField("dedup_key", T.StringType()), T.StructField("bucket", T.LongType()), T.StructField("request_id", T.LongType())])
-    return df.groupBy("dedup_key").transformWithStateInPandas(statefulProcessor=_Accept(), outputStructType=schema, outputMode="Append", timeMode="None")
+    return df.groupBy("dedup_key").transformWithStateInPandas(statefulProcessor=_Accept(seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
