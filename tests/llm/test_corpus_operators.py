@@ -277,6 +277,14 @@ def test_any_insertion_is_a_near_copy(documents, line):
     assert {r.doc_id for r in line_dedup.dropped_lines(docs).collect()} == {2, 3, 4}
 
 
+def test_similar_pairs():
+    rng = random.Random(9)
+    a = ["".join(rng.choices("abé ", k=rng.choice([0, 3, 12, 80, 400]))) for _ in range(200)]
+    b = [x[: len(x) - 4] + rng.choice(["", "zzzz", "abababab"]) if rng.random() < 0.7 else rng.choice(a) for x in a]
+    sets = [(brute_shingles(x), brute_shingles(y)) for x, y in zip(a, b, strict=True)]
+    assert shingles.similar(a, b, 12, 0.8).tolist() == [len(x & y) >= 0.8 * len(x | y) for x, y in sets]
+
+
 def test_window_hashes_of_blocks(spark, monkeypatch):
     """Equal stretches have equal hashes wherever they stand, unlike ones unlike hashes."""
     rng = random.Random(3)
