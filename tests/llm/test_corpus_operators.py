@@ -375,6 +375,28 @@ def test_licence_files(spark):
     assert {r.path: r.licence for r in licenses.scan_licences(docs).collect()} == {p: want for p, (_, want) in rows.items()}
 
 
+LONG = {
+    "Apache-2.0": ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "APPENDIX: How to apply the Apache License to your work.\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "The GNU General Public License does not permit incorporating your program into proprietary programs."),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "END OF TERMS AND CONDITIONS"),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "END OF TERMS AND CONDITIONS"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0\n==================================", "Exhibit A"),
+    "EPL-2.0": ("Eclipse Public License - v 2.0", "Exhibit A"),
+    "CC0-1.0": ("Creative Commons Legal Code\n\nCC0 1.0 Universal", "Affirmer offers the Work as-is."),
+}
+
+
+def test_whole_texts_license_their_directories(spark):
+    """Long licences, of which templates know the title only: the name of the file says that it holds one."""
+    body = "\n\n".join(f"{n}. Terms of clause {n} that say who grants what to whom and under which conditions each of them holds." for n in range(1, 120))
+    rows = [(f"{name}/{file}", f"{'' if n % 2 else ' ' * 20}{top}\n\n{body}\n\n{end}") for n, (name, (top, end)) in enumerate(LONG.items()) for file in (("LICENSE", "COPYING", "LICENSE.txt")[n % 3],)]
+    rows += [(f"{name}/src/x.c", "int x;") for name in LONG] + [("plain/notes.txt", LONG["GPL-3.0"][0] + "\n\n" + body), ("plain/x.c", "int y;"), ("bsd/LICENSE", "Copyright (c) 2020. All rights reserved.\n\n" + full_text("BSD-2-Clause*")), ("bsd/x.c", "int z;"), ("none/LICENSE", "see elsewhere"), ("none/x.c", "int w;")]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: r.licence for r in licenses.scan_licences(docs).collect()}
+    assert {name: got[f"{name}/src/x.c"] for name in LONG} == {name: name for name in LONG}
+    assert got["plain/notes.txt"] == "GPL-3.0" and got["plain/x.c"] is None and got["bsd/x.c"] == "BSD-2-Clause" and got["none/x.c"] is None
+
+
 def test_rows_of_one_id_and_path(spark):
     docs = spark.createDataFrame([(1, "a/b.txt", "Released under the MIT License."), (1, "a/b.txt", "hello all"), (1, "a/b.txt", "Licensed under CC BY 4.0.")], "doc_id long, path string, text string")
     assert sorted(str(r.own) for r in licenses.scan_licences(docs, file_share=2.0).collect()) == ["CC-BY-4.0", "MIT", "None"]

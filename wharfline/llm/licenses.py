@@ -8,8 +8,8 @@ template the rarest terms, so many that what is left of it is too short for the
 no sentence, whatever its words. Sentences that are equal after folding are weighed once, and a cosine sums over
 shared terms only, in a join with the templates' terms.
 
-A file has the licence of its best sentence, of those that one licence has alone if there are any. A file of which at least ``file_share`` of the words lie in licensed
-sentences is a licence file of its directory; a file without a licence of its own inherits that of the nearest
+A file has the licence of its best sentence, of those that one licence has alone if there are any. A file is a licence file of its directory if at least ``file_share`` of its words lie
+in licensed sentences, or if it has a licence and the name of such a file (LICENSE, COPYING and the like); a file without a licence of its own inherits that of the nearest
 directory above it that has one, found by joining the ancestors of each directory.
 
 Everything is DataFrame code; what the driver sees is bounded by the templates' terms. Cases: a null text has no
@@ -64,23 +64,28 @@ TEMPLATES = {
         "See the License for the specific language governing permissions and limitations under the License.",
     ),
     "GPL-2.0": (
+        "GNU General Public License Version 2, June 1991",
         "This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "GNU General Public License Version 2, June 1991",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     ),
     "GPL-3.0": (
+        "GNU General Public License Version 3, 29 June 2007",
         "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later", "GNU General Public License Version 3, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "LGPL-2.1": (
+        "GNU Lesser General Public License Version 2.1, February 1999",
         "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ),
     "LGPL-3.0": (
+        "GNU Lesser General Public License Version 3, 29 June 2007",
         "This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "AGPL-3.0": (
+        "GNU Affero General Public License Version 3, 19 November 2007",
         "This program is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
@@ -90,6 +95,7 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "MPL-2.0": (
+        "Mozilla Public License Version 2.0",
         "SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
@@ -105,19 +111,21 @@ TEMPLATES = {
         "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
     ),
     "BSL-1.0": ("SPDX-License-Identifier: BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"),
-    "EPL-2.0": ("SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    "EPL-2.0": ("Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     "Unlicense": (
         "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
     ),
-    "CC0-1.0": ("SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0."),
+    "CC0-1.0": ("Creative Commons Legal Code CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "Proprietary": ("All rights reserved.",),
+    "Proprietary*": ("All rights reserved.",),
 }
 SIMILARITY, FILE_SHARE = 0.6, 0.8
+#: Names of files that hold a licence, whatever share of their words the templates know.
+FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]es?|copying|copyright)([.-][^/]*)?$"
 _SENTENCE = r"(?<=[.!?;:])\s+"
 _TERM = r"[^\p{L}\p{N}.+-]+|[.-]+(?=\s|$)"
 _COMMENT = r"(?m)^[ \t]*(?://+|/?\*+/?|#+|--+|;+|<!--|%+|>+|\"{3})?[ \t]*"
@@ -212,7 +220,8 @@ def scan_licences(docs: DataFrame, least: float = SIMILARITY, file_share: float
     owned = owned.select("row", F.col("b.licence").alias("own"), (-F.col("b.s")).alias("score"), "share")
     numbered = docs.select("row", "doc_id", "path", _directory(F.col("path")).alias("directory"))
     owned = materialize(spark, numbered.join(owned, "row", "left"), "licences")
-    files = owned.filter((F.col("share") >= file_share) & F.col("path").isNotNull())
+    # the text of a long licence is known by its title and its header; its name says that it is one
+    files = owned.filter(((F.col("share") >= file_share) | F.col("path").rlike(FILE_NAME)) & F.col("own").isNotNull() & F.col("path").isNotNull())
     rules = files.groupBy(F.col("directory").alias("ancestor")).agg(F.min(F.struct((-F.col("score")).alias("s"), "own", "doc_id")).alias("b")).select("ancestor", F.col("b.own").alias("rule"))
     # each directory once: its ancestors, itself first, by the number of their parts
     directories = owned.select("directory").filter("directory IS NOT NULL").distinct()
