@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
+from html import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +103,55 @@ def json_arrays(t: Given) -> DataFrame:
 
 add("S4_read_json_array", json_arrays, "SELECT id, name, description FROM raw")
 add("S6_read_compressed", lambda t: text.parse_delimited(documents.read_compressed(t.spark, line_files(t, compression="gzip"))).good.select("id", "name", "description"), GOOD_LINES)
+
+
+def workbooks(rows: DataFrame, size: int) -> DataFrame:
+    """Workbooks of ``size`` rows each as path and content: one sheet under a header."""
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def book(part: pd.DataFrame) -> pd.DataFrame:
+        cell = lambda v: "<c/>" if pd.isna(v) else f"<c><v>{v}</v></c>" if not isinstance(v, str) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        line = lambda values: f"<row>{''.join(map(cell, values))}</row>"
+        columns = ["id", "name", "description"]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData>{line(["ID", "Name", "Description"])}{"".join(line(r) for r in part[columns].itertuples(index=False))}</sheetData></worksheet>')
+        return pd.DataFrame({"path": [f"{part['book'].iloc[0]}.xlsx"], "content": [out.getvalue()]})
+
+    return rows.withColumn("book", F.floor(F.col("id") / size)).groupBy("book").applyInPandas(book, "path string, content binary")
+
+
+add("S5_read_workbooks", lambda t: documents.parse_workbooks(workbooks(t("raw").select("id", "name", F.when(F.col("id") % 7 != 0, F.col("description")).alias("description")), 2000)).select("id", "name", "description"), "SELECT id, name, CASE WHEN id % 7 <> 0 THEN description END AS description FROM raw")
+
+
+def tagged_lines(t: Given) -> DataFrame:
+    """A line format of one's own: cells are named in the line, which has no header."""
+    value = lambda k: F.regexp_extract("line", f"(?:^|;){k}=([^;]*)", 1)
+    text.register_format("TAGGED", lambda lines: text.Parsed(lines.select("file", "line_no", value("id").cast("bigint").alias("id"), value("name").alias("name")), lines.limit(0)))
+    path = t.folder("tagged")
+    t("raw").select(F.concat_ws(";", F.concat(F.lit("name="), "name"), F.concat(F.lit("id="), F.col("id").cast("string"))).alias("value")).write.text(path)
+    return text.read_lines(t.spark, path, "tagged").good.select("id", "name")
+
+
+def listed_documents(t: Given) -> DataFrame:
+    """A document format of one's own: a document is a key and its values."""
+    documents.register_document("LISTS", lambda spark, paths: spark.read.text(paths, wholetext=True).select(F.explode(F.split(F.trim("value"), "\n")).alias("row")).filter("row <> ''").select(F.split("row", ",")[0].cast("bigint").alias("id"), F.split("row", ",")[1].alias("name")))
+    path = t.folder("lists")
+    t("raw").select(F.concat_ws(",", F.col("id").cast("string"), "name").alias("value")).repartition(16, "id").write.text(path)
+    return documents.read_document(t.spark, path, "lists").select("id", "name")
+
+
+def own_operation(t: Given) -> DataFrame:
+    mp.register_op("LEFT", lambda c, arg: F.substring(c, 1, int(arg)))
+    return mp.apply_mapping(mapped(t), [mp.Rule("description", "code", "LEFT", "5"), mp.Rule("name", "name", "TRIM", None, True)])[0].select("line_no", "code", "name")
+
+
+add("X1_line_format", tagged_lines, "SELECT id, name FROM raw")
+add("X2_document_format", listed_documents, "SELECT id, name FROM raw")
+add("X3_mapping_op", own_operation, "SELECT line_no, CASE WHEN id % 9 <> 0 THEN substr(chr(9) || description, 1, 5) END AS code, name FROM raw WHERE id % 40 <> 3")
 add("S7_scan_batch", lambda t: tables.scan_batch(t("records"), "1997-05-01").orderBy("id").select("id", "business_key"), "SELECT id, business_key FROM records WHERE batch_date = '1997-05-01'")
 
 

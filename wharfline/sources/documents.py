@@ -71,7 +71,11 @@ def _workbook(content: bytes, sheet: int | str) -> Iterator[tuple[int | None, st
 
 def read_workbooks(spark: SparkSession, paths: str | list[str], sheet: int | str = 0) -> DataFrame:
     """Records of many workbooks, each read by one task: header in the first row, in any case; blank rows skipped."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return parse_workbooks(spark.read.format("binaryFile").load(paths).select("path", "content"), sheet)
+
+
+def parse_workbooks(files: DataFrame, sheet: int | str = 0) -> DataFrame:
+    """The same for workbooks that are there as rows of path and content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,7 +83,7 @@ def read_workbooks(spark: SparkSession, paths: str | list[str], sheet: int | str
                 rows = list(_workbook(content, sheet))
                 yield pd.DataFrame({"file": path, "ordinal": range(1, len(rows) + 1), "id": pd.array([r[0] for r in rows], "Int64"), "name": [r[1] for r in rows], "description": [r[2] for r in rows]})
 
-    return files.mapInPandas(run, f"file string, ordinal bigint, {RECORD}")
+    return files.select("path", "content").mapInPandas(run, f"file string, ordinal bigint, {RECORD}")
 
 
 def unpacked_lines(content: bytes, kind: str, most_bytes: int = MOST_BYTES, batch: int = 10_000) -> Iterator[tuple[int, list[str]]]:
