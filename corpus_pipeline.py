@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality, exact and near duplicates, mixing, packing. Each stage sees what the one before kept."""
+"""A corpus pipeline: quality, exact and near duplicates, mixing, packing. Each stage sees what the one before kept.
+
+Cases, for every stage: null texts count as empty; a stage decides on rows and not on ids, so that rows with equal or null
+ids are documents of their own, of which the duplicate stages keep one if their texts are equal; columns beside those
+of ``documents`` are carried through all but the last stage, whatever their names; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 

@@ -226,3 +226,51 @@ def test_request_state_stays_small(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 400
     # a row of state and its timer's rows for each key of two buckets or three
     assert max(kept[4:]) <= max(kept[:4]), kept
+
+
+def levels_of(n, links):
+    """Levels by repeated relaxation; nodes in or behind cycles have none."""
+    ups = defaultdict(set)
+    for a, b in links:
+        ups[a].add(b)
+    level = {}
+    while new := {v: 1 + max((level[u] for u in ups[v]), default=-1) for v in range(n) if v not in level and all(u in level for u in ups[v])}:
+        level |= new
+    return level
+
+
+@pytest.mark.parametrize("kind", ["random", "cyclic", "ladder", "tree"])
+def test_levels_of_graphs(spark, kind):
+    rng = random.Random(len(kind))
+    n = 60 if kind != "ladder" else 16
+    links = {
+        "random": [(a, rng.randrange(a)) for a in range(1, n) for _ in range(rng.choice([0, 1, 1, 2, 3]))],
+        "cyclic": [(rng.randrange(n), rng.randrange(n)) for _ in range(50)],
+        "ladder": [(a, a - k) for a in range(n) for k in (1, 2) if a >= k],
+        "tree": [(a, (a - 1) // 2) for a in range(1, n)],
+    }[kind]
+    name = "n{:02d}".format
+    nodes = spark.createDataFrame([(name(i),) for i in range(n)], "task_id string")
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in links], "task_id string, depends_on string")
+    levels, rest = graph.topo_levels(nodes, edges)
+    want = levels_of(n, links)
+    assert {r.task_id: r.level for r in levels.collect()} == {name(i): k for i, k in want.items()}
+    assert {r.task_id for r in rest.collect()} == {name(i) for i in range(n) if i not in want}
+    if kind == "cyclic":
+        reach = {i: {b for a, b in links if a == i} for i in range(n)}
+        for _ in range(n):
+            reach = {i: r.union(*(reach[j] for j in r)) for i, r in reach.items()}
+        found = {r.task_id: r.component for r in graph.cycle_members(nodes, edges).collect()}
+        assert found == {name(i): name(max(j for j in reach[i] | {i} if i in reach[j] or i == j)) for i in range(n) if i in reach[i]} and found
+
+
+def test_a_chain_takes_few_rounds(spark):
+    """A chain of 100,000 and a cycle with a tail, in steps that grow with the logarithm."""
+    n = 100_000
+    nodes = spark.range(n).select(F.col("id").cast("string").alias("task_id"))
+    edges = spark.range(1, n).select(F.col("id").cast("string").alias("task_id"), (F.col("id") - 1).cast("string").alias("depends_on"))
+    levels, rest = graph.topo_levels(nodes, edges)
+    assert levels.filter("level <> CAST(task_id AS INT)").count() == 0 and levels.count() == n and rest.count() == 0
+    round_ = edges.unionByName(spark.createDataFrame([("0", "60000")], edges.schema))
+    levels, rest = graph.topo_levels(nodes, round_)
+    assert levels.count() == 0 and rest.count() == n

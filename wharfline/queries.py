@@ -591,6 +591,7 @@ def propagated(levels: int) -> str:
 PROPAGATED = propagated(12)
 cyclic = lambda t: t("edges").select("task_id", "depends_on").unionByName(t("nodes").filter("task_id = 'p1'").select(F.col("task_id"), F.lit("p20").alias("depends_on")))
 add("D3_cycle_nodes", lambda t: graph.topo_levels(t("nodes"), cyclic(t))[1], CYCLES)
+add("D3_cycle_members", lambda t: graph.cycle_members(t("nodes"), cyclic(t)).select("task_id"), CYCLES[: CYCLES.index("SELECT DISTINCT")] + "SELECT DISTINCT task_id FROM up WHERE above = task_id")
 add("D4_propagate", lambda t: graph.propagate(t("nodes"), t("edges"), t("nodes")), PROPAGATED)
 add("D5_reconcile_replay", lambda t: replay.reconcile_replay(entries(t), t("states")), f"SELECT *, CASE WHEN in_flight > 0 THEN 'RUNNING' WHEN failed > 0 THEN 'PARTIAL_FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN in_flight = 0 AND failed = 0 THEN 'SETTLED' ELSE 'SETTLING' END AS day_status FROM (SELECT session_id, count(*) FILTER (WHERE status IN ('SUCCEEDED', 'SKIPPED')) AS succeeded, count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE status = 'RUNNING') AS in_flight FROM ({ENTRY}) AS e GROUP BY session_id) AS s")
 DUE = "NOT handled AND retryable AND NOT manual_required AND next_retry_at < TIMESTAMP '2001-08-01'"
