@@ -126,6 +126,24 @@ def test_import_twice_adds_nothing(spark, lines, tmp_path):
     assert read_partitioned(spark, out, records.schema).count() == 2
 
 
+def test_a_merge_reads_the_partitions_of_its_batch(spark, tmp_path):
+    from wharfline.plans import sinks
+
+    rows = spark.range(400).select(F.concat(F.lit("k"), "id").alias("business_key"), F.concat(F.lit("2026-03-"), F.lpad((F.col("id") % 20 + 1).cast("string"), 2, "0")).alias("batch_date"), F.lit("2026_03").alias("partition_key"), "id")
+    out = str(tmp_path / "table")
+    sinks.append_partitioned(rows, out)
+    batch = rows.filter("batch_date = '2026-03-07'").unionByName(rows.filter("id = 6").withColumn("business_key", F.lit("new")))
+    target = sinks.of_partitions(sinks.read_partitioned(spark, out, rows.schema), batch)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = target._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "2026-03-07" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0] and target.count() == 20
+    sinks.merge_into(spark, out, batch, ["id"])
+    table = sinks.read_partitioned(spark, out, rows.schema)
+    assert table.count() == 401 and table.filter("business_key = 'new'").count() == 1
+    assert sinks.of_partitions(table, rows.limit(0)).count() == 0
+
+
 def test_json_array(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": 1, "name": "A", "extra": 3}, {"name": null}]')
     assert [(r.id, r.name, r.description) for r in documents.read_json_array(spark, str(tmp_path / "a.json")).collect()] == [(1, "A", None), (None, None, None)]

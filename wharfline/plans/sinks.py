@@ -32,9 +32,23 @@ def read_partitioned(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Partitions of a batch that are named to the scan of the target; a batch of more reads them all.
+MOST_PARTITIONS = 1000
+
+
+def of_partitions(target: DataFrame, updates: DataFrame, by: tuple[str, ...] = ("partition_key", "batch_date")) -> DataFrame:
+    """The partitions of ``target`` that ``updates`` has rows of: keys of the others can't be there, so they aren't read."""
+    here = updates.select(*by).distinct().limit(MOST_PARTITIONS + 1).collect()
+    if len(here) > MOST_PARTITIONS:
+        return target
+    for c in by:
+        target = target.filter(F.col(c).isin(sorted({r[c] for r in here if r[c] is not None})))
+    return target
+
+
 def merge_into(spark: SparkSession, path: str, updates: DataFrame, order: list[Column | str]) -> DataFrame:
     """Append the updates whose keys are new; done again, it adds nothing. One writer at a time. Returns what was added."""
-    target = read_partitioned(spark, path, updates.schema)
+    target = of_partitions(read_partitioned(spark, path, updates.schema), updates)
     new = merge_insert_new(target, updates, KEYS, order)
     append_partitioned(new, path)
     return new
