@@ -581,3 +581,19 @@ def test_recall(spark, block_rows):
         hits += len(set(ids[np.argsort(-near)[:5]]) & set(found.vec_id))
         all_ += 5
     assert all_ == 5 * sum(ids % 50 == 0) and hits >= 0.93 * all_, hits / all_
+
+
+def test_pipeline_cases(spark, odd, empty):
+    """Stages on nulls, ties, long texts, clashing columns, and on no rows at all: columns stay, and texts are those of the input."""
+    import corpus_pipeline
+
+    for docs, least in ((odd, 1), (empty.withColumn("score", F.lit(1)), 0)):
+        texts = {r.text or "" for r in docs.select("text").collect()}
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.materialize(spark, stage(spark, now, "/root/testdata/sf0.001"), name.replace(" ", "-"))
+            assert now.columns == docs.columns and {r.text or "" for r in now.select("text").collect()} <= texts
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").collect()
+        assert len(pieces) >= least * now.count() and all(p.length > 0 for p in pieces)
+        # one row of each group of equal texts at most, but for the repeats of the mix
+        assert now.select("text").distinct().count() <= len({" ".join(t.split()) for t in texts})
