@@ -94,5 +94,47 @@ SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * coalesce(n.repea
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """The checksum of a short text of digits and signs, byte by byte; the table's entries are sums of those of single bits."""
+    step = "c >> 8"
+    for bit in range(8):
+        x = 1 << bit
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        step = f"xor({step}, ((xor(c, b) >> {bit}) & 1) * {x})"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, CAST(i AS INT), 1)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({codes}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)))"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+# runs of children as columns, for both kinds of trees; then each leaf climbs by its siblings
+_RUNS = "max(digest) FILTER (WHERE pos % 3 = 0) AS c0, max(digest) FILTER (WHERE pos % 3 = 1) AS c1, max(digest) FILTER (WHERE pos % 3 = 2) AS c2"
+_LEFT = "CASE x.pos % 3 WHEN 0 THEN '' WHEN 1 THEN c0 ELSE c0 || c1 END"
+_RIGHT = "CASE x.pos % 3 WHEN 0 THEN coalesce(c1, '') || coalesce(c2, '') WHEN 1 THEN coalesce(c2, '') ELSE '' END"
+_HEAD = " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))
+OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256({_HEAD} || {_field_sql("text")}) AS leaf,
+    CASE WHEN coalesce({_crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0, false) THEN sha256({_HEAD} || {_field_sql("replace(text, chr(10), '')")}) ELSE sha256({_HEAD} || {_field_sql("text")}) END AS tampered FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+w AS (SELECT 0 AS level, source, pos, n, leaf AS digest FROM t
+    UNION ALL SELECT level + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM w WHERE n > 1 GROUP BY level, source, pos // 3, n),
+r AS (SELECT level, source, pos // 3 AS run, {_RUNS} FROM w WHERE n > 1 GROUP BY level, source, pos // 3),
+s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM w WHERE n = 1),
+v AS (SELECT 0 AS level, pos, n, subroot AS digest FROM s
+    UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM v WHERE n > 1 GROUP BY level, pos // 3, n),
+u AS (SELECT level, pos // 3 AS run, {_RUNS} FROM v WHERE n > 1 GROUP BY level, pos // 3),
+p AS (SELECT 0 AS level, doc_id, source, leaf, pos, n, tampered AS fold, '' AS proof FROM t
+    UNION ALL SELECT x.level + 1, x.doc_id, x.source, x.leaf, x.pos // 3, (x.n + 2) // 3, sha256({_LEFT} || fold || {_RIGHT}), proof || {_LEFT} || {_RIGHT}
+    FROM p x JOIN r ON r.level = x.level AND r.source IS NOT DISTINCT FROM x.source AND r.run = x.pos // 3 WHERE x.n > 1),
+q AS (SELECT 0 AS level, p.doc_id, p.leaf, s.subroot, s.pos, s.n, p.fold, p.proof FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source WHERE p.n = 1
+    UNION ALL SELECT x.level + 1, x.doc_id, x.leaf, x.subroot, x.pos // 3, (x.n + 2) // 3, sha256({_LEFT} || fold || {_RIGHT}), proof || {_LEFT} || {_RIGHT} FROM q x JOIN u ON u.level = x.level AND u.run = x.pos // 3 WHERE x.n > 1),
+g AS (SELECT digest AS root FROM v WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM q, g WHERE n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op12_manifest": OP12_SQL}
