@@ -156,6 +156,18 @@ def test_manifest_cases(spark, documents, odd, empty):
     same_manifest(docs.unionByName(docs))
 
 
+def test_manifest_sql():
+    """The statement against plain recursion, on nulls, ties and sources of many sizes."""
+    import duckdb
+
+    rows = [{"doc_id": 100 * k + i, "source": None if k == 0 else f"s{k % 7}é" * (k % 3 + 1), "lang": None if i % 5 == 0 else "en", "n_chars": i if i % 4 else None, "text": None if i % 6 == 5 else f"line\n{i}" * (i % 3)} for k in range(30) for i in range(k + 1)]
+    rows += [{"doc_id": None, "source": "s1", "lang": "x", "n_chars": 1, "text": "a\nb"}, {"doc_id": -7, "source": "s1", "lang": "", "n_chars": 0, "text": ""}, rows[40], rows[40]]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, lang VARCHAR, n_chars BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [list(r.values()) for r in rows])
+    assert Counter(db.execute(queries.OP12_SQL).fetchall()) == Counter(hashed(rows))
+
+
 def test_proof_finds_any_change(documents):
     rows = merkle.manifest(documents(*((i, f"t{i}", f"s{i % 3}") for i in range(40))), F.concat("text", F.lit("!")))
     told = rows.select((merkle.folded(F.col("leaf"), F.col("proof")) == F.col("root")).alias("right"), (merkle.folded(F.col("tampered"), F.col("proof")) == F.col("root")).alias("wrong")).collect()
