@@ -11,7 +11,7 @@ from wharfline.functions.calendar import Calendar, is_excluded, next_available
 from wharfline.functions.text import parse_params, partition_key
 from wharfline.operators import graph, keyed
 from wharfline.operators.measures import content_fingerprint
-from wharfline.streaming import requests, states
+from wharfline.streaming import breakers, requests, states
 
 T0 = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -44,8 +44,8 @@ def test_failure_streak(spark):
     assert {r.id: r.streak for r in keyed.failure_streak(df).collect()} == want
 
 
-def test_breaker(spark):
-    rule, rows = states.BreakerRule(4, 0.5, 300_000), events(4)
+def walked(rule, rows):
+    """Status and failures after each result, one by one."""
     status, fails, until, want = defaultdict(lambda: "CLOSED"), defaultdict(int), defaultdict(int), {}
     for k, ts, i, ok in sorted(rows, key=lambda r: (r[1], r[2])):
         ms = int(ts.timestamp() * 1000)
@@ -57,11 +57,40 @@ def test_breaker(spark):
                 status[k] = "CLOSED"
         else:
             fails[k] += 1
-            if fails[k] >= 2 or status[k] == "HALF_OPEN":
-                status[k], until[k] = "OPEN", ms + 300_000
+            if fails[k] >= rule.most_failures or status[k] == "HALF_OPEN":
+                status[k], until[k] = "OPEN", ms + rule.cooldown_ms
         want[i] = (status[k], fails[k])
-    df = spark.createDataFrame([(f"t{k}", ts, i, ok) for k, ts, i, ok in rows], "target string, ts timestamp, event_id long, success boolean")
-    assert {r.event_id: (r.status, r.failures) for r in states.breaker_states(df, rule).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize(("window", "cooldown", "failing", "chunk_bits"), [(4, 300_000, 0.4, 3), (8, 900_000, 0.5, 4), (16, 2_000, 0.6, 5), (6, 0, 0.4, 4), (40, 3_600_000, 0.7, 6), (6, 60_000, 0.5, 16), (20, 5_000, 0.85, 3)])
+def test_breaker(spark, window, cooldown, failing, chunk_bits):
+    """Chunks of eight rows and more, of which one target has nine in ten; times repeat."""
+    rng, rule = random.Random(window), breakers.BreakerRule(window, 0.5, cooldown)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["a", "b", None]), T0 + timedelta(seconds=rng.randrange(4_000)), i, rng.random() >= failing) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "target string, ts timestamp, event_id long, success boolean").repartition(5)
+    got = breakers.breaker_states(df, rule, chunk_bits).collect()
+    assert len(got) == len(rows)
+    assert {r.event_id: (r.status, r.failures) for r in got} == walked(rule, rows)
+
+
+def test_breaker_cases(spark):
+    """No rows; rows without a time take no part; a missing success is a failure; repeated rows count."""
+    schema = "target string, ts timestamp, event_id long, success boolean, chunk string"
+    assert breakers.breaker_states(spark.createDataFrame([], schema)).count() == 0
+    df = spark.createDataFrame([("a", T0, 1, None, "x"), ("a", T0, 1, None, "x"), ("a", None, 2, True, "x")], schema)
+    assert sorted((r.event_id, r.status, r.failures) for r in breakers.breaker_states(df, breakers.BreakerRule(2, 1.0)).collect()) == [(1, "CLOSED", 1), (1, "OPEN", 2)]
+
+
+def test_hot_breaker_is_spread(spark):
+    """One target's results are worked on by many tasks, and what goes through one is a row for each chunk."""
+    df = spark.range(200_000).select(F.lit("hot").alias("target"), F.timestamp_millis(F.col("id") * 50).alias("ts"), F.col("id").alias("event_id"), (F.pmod(F.xxhash64("id"), F.lit(3)) > 0).alias("success"))
+    rule = breakers.BreakerRule(20, 0.5, 1_000)
+    rows = breakers.breaker_states(df, rule, 10).withColumn("task", F.spark_partition_id())
+    got = rows.collect()
+    assert len({r.task for r in got}) > 1
+    want = walked(rule, [("hot", T0 + timedelta(milliseconds=r.event_id * 50), r.event_id, r.ok) for r in df.select("event_id", F.col("success").alias("ok")).collect()])
+    assert {r.event_id: (r.status, r.failures) for r in got} == want
 
 
 def dag(seed, n=60):

@@ -22,7 +22,7 @@ from wharfline.plans import jobs, sinks
 from wharfline.shared import shared_dir
 from wharfline.sources import documents, tables, text, textindex
 from wharfline.streaming import intake as stream_intake
-from wharfline.streaming import requests, states
+from wharfline.streaming import breakers, requests, states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -702,8 +702,14 @@ TIMED = "SELECT user_id, date_trunc('millisecond', ts) AS ts, CASE WHEN event_ty
 timed = lambda t: t("events").filter("event_type <> 'click'").select("user_id", F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), F.when(F.col("event_type").isin("view", "signup"), "START").otherwise("END").alias("kind"))
 add("T5_timeouts", lambda t: states.timeouts(timed(t), "user_id", "ts", 60 * 24, at(EVENTS_NOW)).select("user_id", ms("started_at").alias("started")), f"SELECT user_id, epoch_ms(ts) AS started FROM (SELECT *, (SELECT min(e.ts) FROM ({TIMED}) AS e WHERE e.user_id = s.user_id AND e.kind = 'END' AND e.ts > s.ts) AS done FROM ({TIMED}) AS s WHERE kind = 'START') AS x WHERE coalesce(done, TIMESTAMP '2024-01-31') > ts + INTERVAL '1' DAY AND ts + INTERVAL '1' DAY <= TIMESTAMP '2024-01-31'")
 results = lambda t: t("events").select(F.concat(F.lit("S"), (F.col("user_id") % 40).cast("string")).alias("target"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") != "error").alias("success"))
-add("T6_breaker_states", lambda t: states.breaker_states(results(t), states.BreakerRule(4, 0.5, 3_600_000)))
-add("T6_stream_breaker", lambda t: drain(t, states.stream_breaker(as_stream(t, results(t)), states.BreakerRule(4, 0.5, 3_600_000))))
+RULE = breakers.BreakerRule(4, 0.5, 3_600_000)
+BREAKERS = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ms, event_id) AS n FROM (SELECT 'S' || CAST(user_id % 40 AS STRING) AS target, epoch_ms(ts) AS ms, event_id, event_type <> 'error' AS success FROM events) AS x),
+walk AS (SELECT target, n, event_id, CASE WHEN success THEN 0 ELSE 1 END AS failures, false AS is_open, CAST(0 AS BIGINT) AS until FROM e WHERE n = 1
+UNION ALL SELECT e.target, e.n, e.event_id, CASE WHEN success THEN 0 ELSE failures + 1 END, CASE WHEN success THEN is_open AND ms < until ELSE is_open OR failures >= 1 END,
+CASE WHEN NOT success AND (failures >= 1 OR (is_open AND ms >= until)) THEN ms + 3600000 ELSE until END FROM walk JOIN e ON e.target = walk.target AND e.n = walk.n + 1)
+SELECT target, event_id, CASE WHEN is_open THEN 'OPEN' ELSE 'CLOSED' END AS status, CAST(failures AS BIGINT) AS failures FROM walk"""
+add("T6_breaker_states", lambda t: breakers.breaker_states(results(t), RULE), BREAKERS)
+add("T6_stream_breaker", lambda t: drain(t, states.stream_breaker(as_stream(t, results(t)), RULE)), BREAKERS)
 add("T7_coalesce_events", lambda t: requests.coalesce_events(requests_of(t), "dedup_key", "ts", "request_id", "1 hour").select("dedup_key", F.unix_seconds("window_start").alias("s"), "n", F.element_at("items", 1).alias("first")), "SELECT CAST(user_id AS STRING) || '/' || event_type AS dedup_key, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS s, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2")
 
 

@@ -1,10 +1,8 @@
-"""Timeouts and circuit breakers: state by key over ordered events."""
+"""Timeouts, and circuit breakers as streams: state by key over ordered events."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from wharfline.streaming.breakers import CLOSED, BreakerRule, Results
+
 
 def timeouts(df: DataFrame, key: str, ts: str, minutes: int, as_of, start: str = "START", end: str = "END", kind: str = "kind") -> DataFrame:
     """Starts without an end within ``minutes``: the batch form over a table of events."""
@@ -86,71 +86,20 @@ def stream_timeouts(df: DataFrame, minutes: int, late: str = "1 minute") -> Data
     return df.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(statefulProcessor=_Timeout(minutes), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-@dataclass(frozen=True)
-class BreakerRule:
-    window: int = 10
-    rate: float = 0.5
-    cooldown_ms: int = 60_000
-
-    @property
-    def most_failures(self) -> int:
-        return max(1, math.ceil(self.rate * max(1, self.window)))
-
-
-def breaker_step(rule: BreakerRule, state: tuple[str, int, int], at_ms: int, success: bool) -> tuple[str, int, int]:
-    """(status, failures since the last success, end of cooldown) after one result.
-
-    An open breaker whose cooldown is over is half open when the result arrives; results during the cooldown
-    come from calls that were let through before.
-    """
-    status, failures, until = state
-    if status == "OPEN" and at_ms >= until:
-        status = "HALF_OPEN"
-    if success:
-        return ("CLOSED" if status == "HALF_OPEN" else status), 0, until
-    failures += 1
-    if status == "HALF_OPEN" or failures >= rule.most_failures:
-        return "OPEN", failures, at_ms + rule.cooldown_ms
-    return status, failures, until
-
-
-def breaker_states(df: DataFrame, rule: BreakerRule = BreakerRule()) -> DataFrame:
-    """target, event_id, status after each result: events of a target in order (target, ts, event_id, success).
-
-    A breaker is a chain of states, so a target's results are walked in one task, batch by batch in order, and
-    only the state is held.
-    """
-    rows = df.select("target", F.unix_millis("ts").alias("ms"), "event_id", "success").repartition("target").sortWithinPartitions("target", "ms", "event_id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, state = None, ("CLOSED", 0, 0)
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.target != target:
-                    target, state = r.target, ("CLOSED", 0, 0)
-                state = breaker_step(rule, state, r.ms, r.success)
-                out.append((r.target, r.event_id, state[0], state[1]))
-            yield pd.DataFrame(out, columns=["target", "event_id", "status", "failures"])
-
-    return rows.mapInPandas(run, "target string, event_id bigint, status string, failures bigint")
-
-
 class _Breaker(StatefulProcessor):
     def __init__(self, rule: BreakerRule):
         self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", T.StructType([T.StructField("status", T.StringType()), T.StructField("failures", T.LongType()), T.StructField("until", T.LongType())]))
+        self.state = handle.getValueState("state", T.StructType([T.StructField("failures", T.LongType()), T.StructField("until", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = tuple(self.state.get()) if self.state.exists() else ("CLOSED", 0, 0)
-        out = []
-        for ms, event, success in zip(*_in_order(rows, "ms", "event_id", "success"), strict=True):
-            state = breaker_step(self.rule, state, int(ms), bool(success))
-            out.append((key[0], event, state[0], state[1]))
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=["target", "event_id", "status", "failures"])
+        failures, until = self.state.get() if self.state.exists() else (0, CLOSED)
+        ms, event, success = _in_order(rows, "ms", "event_id", "success")
+        results = Results(self.rule, np.zeros(len(ms), np.int64), ms, success.astype(bool), failures)
+        opens, ends = results.states(until)
+        self.state.update((int(results.failures[-1]), int(ends[-1])))
+        yield pd.DataFrame({"target": key[0], "event_id": event, "status": np.where(opens, "OPEN", "CLOSED"), "failures": results.failures})
 
     def close(self) -> None:
         pass
@@ -158,5 +107,5 @@ class _Breaker(StatefulProcessor):
 
 def stream_breaker(df: DataFrame, rule: BreakerRule = BreakerRule()) -> DataFrame:
     schema = T.StructType([T.StructField("target", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("failures", T.LongType())])
-    df = df.select("target", F.unix_millis("ts").alias("ms"), "event_id", "success")
+    df = df.select("target", F.unix_millis("ts").alias("ms"), "event_id", F.coalesce("success", F.lit(False)).alias("success")).filter("ms IS NOT NULL")
     return df.groupBy("target").transformWithStateInPandas(statefulProcessor=_Breaker(rule), outputStructType=schema, outputMode="Append", timeMode="None")
