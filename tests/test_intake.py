@@ -2,7 +2,9 @@
 
 import gzip
 import json
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +151,38 @@ def test_json_array(spark, tmp_path):
     assert [(r.id, r.name, r.description) for r in documents.read_json_array(spark, str(tmp_path / "a.json")).collect()] == [(1, "A", None), (None, None, None)]
 
 
+def test_json_array_of_many_splits(spark, tmp_path):
+    """One array over many splits gives the rows of a parser that reads it whole: strings with brackets, escapes, nesting."""
+    rng = random.Random(9)
+    parts = ['{', '}', '[', ']', '"', "\\", ",", "\n", "x", "é", "},{", '"}', "\\\\}"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+    nest = lambda d: rng.choice([[], {}, word(), 1, [word(), {}]]) if d == 0 else {word(): nest(d - 1), "a": [nest(d - 1), {"b": word()}]}
+    rows = [{"extra": nest(rng.randrange(4)), "id": i, "name": word(), "more": {"x": [{}]}, "description": None if i % 7 == 0 else word()} for i in range(600)]
+    rows[5] = rows[-1] = None
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=1), encoding="utf-8")
+    (tmp_path / "b.json").write_text("\n" + json.dumps(rows[:50], ensure_ascii=False) + " \n", encoding="utf-8")
+    (tmp_path / "c.json").write_text(" [ ]")
+    (tmp_path / "d.json").write_text("")
+    (tmp_path / "e.json").write_text("[{}]")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2000")
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 30
+        got = documents.read_json_array(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    of = lambda r: (r["id"], r["name"], r["description"]) if r else (None, None, None)
+    assert Counter((r.file[-6:], r.id, r.name, r.description) for r in got) == Counter([*(("a.json", *of(r)) for r in rows), *(("b.json", *of(r)) for r in rows[:50]), ("e.json", None, None, None)])
+
+
+@pytest.mark.parametrize("text_", [" ", "{}", '[{"id": 1}', '[{"id": 1} {"id": 2}]', '[{"id": 1}] [{"id": 2}]', '[{"id": 1},]', '[{"id": 1}, ,{"id": 2}]', '[{"id": 1}] x', '{"id": 1}\n{"id": 2}\n', '{"a": [{"id": 1}]}', "[{'id': 1}]", '[{"id": 1}}]', '[{"name": "x]'])
+def test_not_one_json_array(spark, tmp_path, text_):
+    (tmp_path / "a.json").write_text(text_)
+    with pytest.raises(Exception, match="not one JSON array|MALFORMED"):
+        documents.read_json_array(spark, str(tmp_path / "a.json")).collect()
+
+
 def workbook(path, rows):
     cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{v}</t></is></c>' if v is not None else "<c/>" for v in r) + "</row>" for r in rows)
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'

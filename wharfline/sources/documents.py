@@ -1,4 +1,4 @@
-"""Files that are read whole: JSON arrays, workbooks, archives, manifests, and what is known of files."""
+"""Documents: JSON arrays, workbooks, archives, manifests, and what is known of files."""
 
 from __future__ import annotations
 
@@ -13,24 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = "id bigint, name string, description string"
+from wharfline.sources.jsonarrays import RECORD, read_json_array
+
 MOST_BYTES = 2 << 30
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def read_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of documents that hold one array of objects; other fields are dropped, missing ones are null.
-
-    A document that doesn't begin and end as an array (JSON lines, for example) is an error.
-    """
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    parsed = F.from_json("value", f"array<struct<{RECORD}>>", {"mode": "FAILFAST"})
-    array = F.col("value").rlike(r"(?s)^\s*\[.*\]\s*$")
-    checked = F.when(array, parsed).otherwise(F.raise_error(F.concat(F.lit("not one JSON array: "), F.col("file"))))
-    return whole.select("file", F.explode(checked).alias("r")).select("file", "r.id", "r.name", "r.description")
-
-
 def _cells(book: zipfile.ZipFile, sheet: int | str) -> Iterator[list[str | None]]:
     """Rows of one sheet as texts."""
     shared = []
