@@ -209,6 +209,52 @@ def test_compressed(spark, tmp_path):
         documents.read_compressed(spark, str(tmp_path / "a.csv.gz"), most_bytes=2).collect()
 
 
+def test_archives_as_streams(spark, tmp_path):
+    """Archives of many fragments and splits: stored and deflated, folders first, several gzip members, no suffix, no last line end."""
+    rng = random.Random(3)
+    rows = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 900)])) for _ in range(rng.randrange(60))).replace("\x85", "") for _ in range(4_000)]
+    body = "\r\n".join(rows).encode()
+    for name, method in (("a.zip", zipfile.ZIP_DEFLATED), ("b.zip", zipfile.ZIP_STORED)):
+        with zipfile.ZipFile(tmp_path / name, "w", method) as z:
+            z.writestr("in/", "")
+            z.writestr("in/x.csv", body)
+            z.writestr("in/y.csv", "other")
+    with open(tmp_path / "c.zip", "wb") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open("x.csv", "w") as member:
+        member.write(body)
+    (tmp_path / "d.csv.gz").write_bytes(gzip.compress(body[:50_000]) + gzip.compress(body[50_000:]))
+    (tmp_path / "e.csv").write_bytes(body)
+    key, want = "spark.sql.files.maxPartitionBytes", [(n, r) for n, r in enumerate(rows, 1)]
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "20000")
+        got = documents.read_compressed(spark, str(tmp_path)).collect()
+        for name in "abcde":
+            assert sorted((r.line_no, r.line) for r in got if r.file.rsplit("/", 1)[1][0] == name) == want, name
+        (tmp_path / "f").mkdir()
+        (tmp_path / "f" / "data").write_bytes(gzip.compress(body[:50_000]) + gzip.compress(body[50_000:]))
+        got = documents.read_compressed(spark, str(tmp_path / "f" / "data"), "gz").collect()
+        assert sorted((r.line_no, r.line) for r in got) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_archives_that_fail(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "bomb.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x", b"0" * 5_000_000)
+    with pytest.raises(Exception, match="more than 1000000 bytes"):
+        documents.read_compressed(spark, str(tmp_path / "bomb.zip"), most_bytes=1_000_000).collect()
+    whole = (tmp_path / "bomb.zip").read_bytes()
+    (tmp_path / "cut.zip").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception, match="ends too early"):
+        documents.read_compressed(spark, str(tmp_path / "cut.zip")).collect()
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("in/", "")
+    with pytest.raises(Exception, match="without a file"):
+        documents.read_compressed(spark, str(tmp_path / "none.zip")).collect()
+    (tmp_path / "empty.csv").write_text("")
+    assert documents.read_compressed(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
 def test_manifest_errors(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"manifestId": "m", "files": [{"fileName": "a", "checksum": "x", "checksumAlgorithm": "SHA"}, {"expectedRecordCount": 1, "required": false}]}')
     rows = documents.read_manifests(spark, str(tmp_path / "m.json")).collect()

@@ -21,6 +21,7 @@ from wharfline.operators import alerts, filters, graph, hashtree, intake, keyed,
 from wharfline.plans import jobs, sinks
 from wharfline.shared import shared_dir
 from wharfline.sources import documents, tables, text, textindex
+from wharfline.sources.archives import inflate_lines
 from wharfline.streaming import intake as stream_intake
 from wharfline.streaming import breakers, requests, states
 
@@ -105,6 +106,25 @@ add("S4_read_json_array", json_arrays, "SELECT id, name, description FROM raw")
 add("S6_read_compressed", lambda t: text.parse_delimited(documents.read_compressed(t.spark, line_files(t, compression="gzip"))).good.select("id", "name", "description"), GOOD_LINES)
 
 
+
+def archives(t: Given) -> DataFrame:
+    """Lines of zip archives: as fragments of bytes, as the reader gets them from files."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open("x.csv", "w") as member:
+            for key, event, props in part.sort_values("event_id")[["event_id", "event_type", "props"]].itertuples(index=False):
+                member.write(f"{key};{event};{props}\r\n".encode())
+        parts = out.getvalue().split(b"\n")
+        return pd.DataFrame({"file": f"{part['of'].iloc[0]}.zip", "kind": "ZIP", "line_no": range(len(parts)), "part": parts})
+
+    packed = t("events").select("event_id", "event_type", "props", F.floor(F.col("event_id") / 5000).alias("of")).groupBy("of").applyInPandas(pack, "file string, kind string, line_no bigint, part binary")
+    return inflate_lines(packed).select("line_no", "line")
+
+
+add("S6_read_archives", archives, "SELECT row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS line_no, CAST(event_id AS STRING) || ';' || event_type || ';' || props AS line FROM events")
+
+
 def workbooks(rows: DataFrame, size: int) -> DataFrame:
     """Workbooks of ``size`` rows each as path and content: one sheet under a header."""
     ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import zipfile
@@ -13,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wharfline.sources.archives import read_compressed  # noqa: F401
 from wharfline.sources.jsonarrays import RECORD, read_json_array
 
-MOST_BYTES = 2 << 30
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -75,49 +74,6 @@ def parse_workbooks(files: DataFrame, sheet: int | str = 0) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"file string, ordinal bigint, {RECORD}")
 
 
-def unpacked_lines(content: bytes, kind: str, most_bytes: int = MOST_BYTES, batch: int = 10_000) -> Iterator[tuple[int, list[str]]]:
-    """Lines of a gzip file or of the first file in a zip archive, some thousand at a time with the number before; too many bytes are an error."""
-    if kind == "GZIP":
-        stream = gzip.GzipFile(fileobj=io.BytesIO(content))
-    elif kind == "ZIP":
-        book = zipfile.ZipFile(io.BytesIO(content))
-        stream = book.open(next(i for i in book.infolist() if not i.is_dir()))
-    else:
-        stream = io.BytesIO(content)
-    at, size, lines = 0, 0, []
-    while line := stream.readline(most_bytes + 1 - size):
-        size += len(line)
-        if size > most_bytes:
-            raise ValueError(f"more than {most_bytes} bytes")
-        lines.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
-        if len(lines) == batch:
-            yield at, lines
-            at, lines = at + batch, []
-    if lines:
-        yield at, lines
-
-
-def read_compressed(spark: SparkSession, paths: str | list[str], kind: str | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """file, line_no, line of compressed text files: gzip, zip (first file) or plain, by flag or by suffix.
-
-    A task unpacks a file line by line; what a line adds up to beyond ``most_bytes`` is an error, as for archives
-    that blow up. Plain and gzip files without such a bound are better read by ``numbered_lines``.
-    """
-    from wharfline.functions.text import detect_type
-
-    files = spark.read.format("binaryFile").load(paths)
-    said = F.lit(kind).cast("string") if kind else None
-    files = files.select("path", detect_type("path", compression=said)["compression"].alias("kind"), "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, k, content in batch.itertuples(index=False):
-                for at, part in unpacked_lines(content, k, most_bytes):
-                    yield pd.DataFrame({"file": path, "line_no": range(at + 1, at + 1 + len(part)), "line": part})
-
-    return files.mapInPandas(run, "file string, line_no bigint, line string")
-
-
 MANIFEST = "manifestId string, sourceSystem string, bizDate string, files array<struct<fileName:string,expectedRecordCount:bigint,checksum:string,checksumAlgorithm:string,required:boolean>>"
 
 

@@ -26,15 +26,17 @@ class Parsed:
 MOST_SPLITS = 1_000_000
 
 
-def numbered_lines(spark: SparkSession, paths: str | list[str], into: str | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: str | list[str], into: str | None = None, line_end: str | None = None) -> DataFrame:
     """file, line_no (from 1) and line. Lines are not shuffled.
 
     How files are split depends on the cores that are there at the moment, so one scan writes lines and their splits
     to a table of the shared folder, and both the index of splits and the numbers come from that table. A line without
     an entry in the index is an error. into: where the two tables go, for callers that remove them.
+    line_end: what ends a line, if not any of the usual ends.
     """
     path = into or shared_dir(spark, "lines")
-    rows = spark.read.text(paths).select(
+    reader = spark.read if line_end is None else spark.read.option("lineSep", line_end)
+    rows = reader.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
     )
     rows.write.parquet(f"{path}/rows")
