@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wharfline.functions.mapping import Rule, apply_mapping, register_op
-from wharfline.plans.jobs import export_records, import_feed, import_records
+from wharfline.plans.jobs import export_records, import_feed, import_outcomes, import_records, save_import
 from wharfline.plans.sinks import export_csv, export_json, merge_into, read_partitioned
 from wharfline.sources import documents, tables, text
 from wharfline.streaming.intake import import_batch
@@ -146,6 +146,21 @@ def test_a_merge_reads_the_partitions_of_its_batch(spark, tmp_path):
     assert sinks.of_partitions(table, rows.limit(0)).count() == 0
 
 
+def test_outcomes_in_one_pass(spark, tmp_path, lines):
+    """Written rows, repeated keys, rejected and unread lines are those of the import job, and are counted as they are written."""
+    parsed = text.read_delimited(spark, lines("a.csv", "id,name,description", "1,ann,x", "z,ann,y", "3,,w", "4,Ann,v", "5,bob,", "q,,", "7,,w"))
+    day, now = F.lit(DAY), F.to_timestamp(F.lit(DAY))
+    counts = save_import(import_outcomes(parsed, day, now), str(tmp_path / "out"))
+    assert counts == {"written": 2, "duplicate": 1, "rejected": 2, "parse_error": 2}
+    job, table = import_records(parsed, day, now), spark.read.parquet(str(tmp_path / "out"))
+    for outcome, df in {"written": job.records, "duplicate": job.duplicates, "rejected": job.rejected, "parse_error": job.bad}.items():
+        assert {r.line_no for r in table.filter(F.col("outcome") == outcome).collect()} == {r.line_no for r in df.collect()}
+    kept = ["business_key", "batch_date", "partition_key", "id", "name", "description"]
+    assert sorted(table.filter("outcome = 'written'").select(*kept).collect()) == sorted(job.records.select(*kept).collect())
+    nothing = save_import(import_outcomes(text.read_delimited(spark, lines("b.csv", "id,name,description")), day, now), str(tmp_path / "none"))
+    assert nothing == {"written": 0, "duplicate": 0, "rejected": 0, "parse_error": 0}
+
+
 def test_json_array(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": 1, "name": "A", "extra": 3}, {"name": null}]')
     assert [(r.id, r.name, r.description) for r in documents.read_json_array(spark, str(tmp_path / "a.json")).collect()] == [(1, "A", None), (None, None, None)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions.mapping import Rule, apply_mapping, pack_attributes, standardize
@@ -43,6 +43,33 @@ def import_records(parsed: Parsed, batch_date: Column, as_of: Column) -> Import:
     return Import(kept, again, rejected, parsed.bad)
 
 
+def import_outcomes(parsed: Parsed, batch_date: Column, as_of: Column) -> DataFrame:
+    """All lines of an import with their ``outcome``: written, duplicate, rejected or parse_error; the same as import_records, in one plan."""
+    rows = parsed.rows if parsed.rows is not None else parsed.good.withColumn("error", F.lit(None).cast("string")).unionByName(parsed.bad, allowMissingColumns=True)
+    unread, unnamed = F.col("error").isNotNull(), ~has_text("name")
+    failed = F.when(unread, "parse_error").when(unnamed, "rejected")
+    rows = rows.withColumn("outcome", failed).withColumn("error", F.when(F.col("outcome") == "rejected", F.lit("name missing")).otherwise(F.col("error"))).withColumn("name", F.upper("name"))
+    rows = _keyed(rows, batch_date, as_of, business_key("batch_date", "name"))
+    # failed lines have no key, and are groups of their own by file and line
+    good = F.col("outcome").isNull()
+    of = Window.partitionBy(good, F.when(good, F.col("business_key")).otherwise(F.col("file")), F.when(good, F.col("batch_date")).otherwise(F.col("line_no").cast("string"))).orderBy("file", "line_no")
+    return rows.withColumn("outcome", F.coalesce("outcome", F.when(F.row_number().over(of) > 1, "duplicate").otherwise("written")))
+
+
+OUTCOMES = ("written", "duplicate", "rejected", "parse_error")
+
+
+def save_import(outcomes: DataFrame, path: str) -> dict[str, int]:
+    """Write the lines in a folder for each outcome, and count them in the same pass.
+
+    The counts are taken in the tasks that write, of which each counts once, however often it is tried.
+    """
+    seen = Observation()
+    counted = outcomes.observe(seen, *(F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES))
+    counted.write.partitionBy("outcome").parquet(path)
+    return {o: seen.get[o] for o in OUTCOMES}
+
+
 def import_feed(rows: DataFrame, feed: Feed, rules: list[Rule], batch_date: Column, as_of: Column, on_error: str = "reject") -> Import:
     """The feed path: mapped by rules, other targets packed as attributes, key of the feed's fields or of the name."""
     good, bad = apply_mapping(rows, rules, on_error=on_error)

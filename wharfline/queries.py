@@ -773,5 +773,17 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(again, "partition_key", "left").na.fill(0, ["duplicates"])
 
 
+def import_counts(t: Given) -> DataFrame:
+    """Counts that were taken while an import was written, beside what the written folders hold."""
+    path = t.folder("import")
+    counts = jobs.save_import(jobs.import_outcomes(text.read_delimited(t.spark, line_files(t)), F.lit("2024-01-01"), at(ORDERS_NOW)), path)
+    held = t.spark.read.parquet(path).groupBy("outcome").agg(F.count("*").alias("n"))
+    said = F.create_map(*(F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for pair in counts.items() for x in pair))
+    return held.select(F.col("outcome").cast("string").alias("outcome"), "n", said[F.col("outcome")].alias("observed"))
+
+
+COUNTED = f"""SELECT outcome, count(*) AS n, count(*) AS observed FROM (SELECT CASE WHEN substr(id, 1, 1) = 'x' THEN 'parse_error' WHEN name = '' THEN 'rejected'
+WHEN row_number() OVER (PARTITION BY substr(id, 1, 1) = 'x', upper(trim(name)) ORDER BY id) > 1 THEN 'duplicate' ELSE 'written' END AS outcome FROM ({RAW_LINES}) AS l) AS o GROUP BY outcome"""
+add("import_counts", import_counts, COUNTED)
 QUERIES["import_summary"] = import_summary
 SQL["import_summary"] = with_derived("SELECT replace(substr(batch_date, 1, 7), '-', '_') AS partition_key, count(*) AS loaded, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT name, batch_date, count(*) AS n FROM raw GROUP BY name, batch_date) AS g GROUP BY 1")

@@ -18,8 +18,11 @@ from wharfline.shared import shared_dir
 
 @dataclass(frozen=True)
 class Parsed:
+    """Good and bad rows, and, where one plan has both, all rows with their ``error``."""
+
     good: DataFrame
     bad: DataFrame
+    rows: DataFrame | None = None
 
 
 #: Splits whose offsets are broadcast; a broadcast row takes some 64 bytes. More are joined by a shuffle.
@@ -61,7 +64,7 @@ def number(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 def _split_good(rows: DataFrame, error: Column) -> Parsed:
     marked = rows.withColumn("error", error)
-    return Parsed(marked.filter("error IS NULL").drop("error", "line"), marked.filter("error IS NOT NULL").select("file", "line_no", "line", "error"))
+    return Parsed(marked.filter("error IS NULL").drop("error", "line"), marked.filter("error IS NOT NULL").select("file", "line_no", "line", "error"), marked)
 
 
 def _record(raw_id: Column, name: Column, description: Column) -> list[Column]:
@@ -83,7 +86,7 @@ def parse_delimited(lines: DataFrame, delimiter: str = ",") -> Parsed:
 
 
 def _drop_raw(parsed: Parsed) -> Parsed:
-    return Parsed(parsed.good.drop("raw_id"), parsed.bad)
+    return Parsed(parsed.good.drop("raw_id"), parsed.bad, parsed.rows.drop("raw_id"))
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str], delimiter: str = ",") -> Parsed:
