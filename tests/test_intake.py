@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 import zipfile
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wharfline.functions.mapping import Rule, apply_mapping, register_op
 from wharfline.plans.jobs import export_records, import_feed, import_outcomes, import_records, save_import
-from wharfline.plans.sinks import export_csv, export_json, merge_into, read_partitioned
+from wharfline.plans.sinks import export_csv, export_json, merge_into, of_partitions, read_partitioned, write_dlq
 from wharfline.sources import documents, tables, text
 from wharfline.streaming.intake import import_batch
 
@@ -359,6 +360,19 @@ def test_formats_plug_in(spark, lines):
     assert {r.name for r in documents.read_document(spark, lines("b.txt", "p q", "r"), "words").collect()} == {"p", "q", "r"}
 
 
+def test_dead_letters_of_few_files(spark, tmp_path):
+    """A batch is compared with the folders of its files only, and adds nothing when it is done again."""
+    rows = lambda *files: spark.createDataFrame([(f, n, None, DAY, None, None, "e") for f in files for n in range(3)], "file string, line_no long, business_key string, batch_date string, name string, description string, error string")
+    path = str(tmp_path / "dlq")
+    for files in ([f"f{i}" for i in range(40)], ["f1", "f99"], ["f1", "f99"], []):
+        write_dlq(rows(*files) if files else rows("x").limit(0), path, "import", ("file", "line_no"))
+    table = spark.read.parquet(path)
+    assert table.count() == 41 * 3
+    few = of_partitions(table, table.filter("file = 'f1'"), ("origin_part",))
+    assert re.search(r"PartitionFilters: \[[^\]]*origin_part", few._jdf.queryExecution().toString())
+    assert few.select("_metadata.file_path").distinct().count() <= 2
+
+
 def test_import_twice(spark, tmp_path, lines):
     """A micro-batch that runs again adds no record, no trace and no dead letter."""
     path = lines("a.csv", "id,name,description", "1,ann,x", "z,bob,y", "3,,w", "4,ann,v")

@@ -104,10 +104,20 @@ def dlq_rows(bad: DataFrame, job: str, origin: tuple[str, ...] = ()) -> DataFram
     return bad.select(*origin, F.lit(job).alias("job_name"), params.alias("params"), truncate("error", 1000).alias("error_message"), F.lit("RECORD_WRITE_FAILED").alias("error_code"), F.lit(True).alias("retryable"), F.lit(False).alias("manual_required"), F.lit(False).alias("handled"), F.lit(0).alias("replay_count"))
 
 
+#: Folders of dead letters, by a hash of their first origin column.
+DLQ_PARTS = 256
+
+
 def write_dlq(bad: DataFrame, path: str, job: str, origin: tuple[str, ...] = ()) -> None:
-    """Append dead letters. origin: columns that say where a row comes from; rows of a known origin aren't written again."""
+    """Append dead letters. origin: columns that say where a row comes from; rows of a known origin aren't written again.
+
+    Such rows are stored by a hash of the first of these columns, so that a batch of few files is compared with the dead
+    letters of a few folders only.
+    """
     rows = dlq_rows(bad, job, origin)
-    if origin:
-        known = read_partitioned(rows.sparkSession, path, rows.schema).select(*origin)
-        rows = rows.join(known, list(origin), "left_anti")
-    rows.write.mode("append").parquet(path)
+    if not origin:
+        rows.write.mode("append").parquet(path)
+        return
+    rows = rows.withColumn("origin_part", F.pmod(F.xxhash64(origin[0]), F.lit(DLQ_PARTS)).cast("int"))
+    known = of_partitions(read_partitioned(rows.sparkSession, path, rows.schema), rows, ("origin_part",)).select(*origin, "origin_part")
+    append_partitioned(rows.join(known, [*origin, "origin_part"], "left_anti"), path, ("origin_part",))
