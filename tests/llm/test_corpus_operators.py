@@ -298,6 +298,21 @@ def test_window_hashes_of_blocks(spark, monkeypatch):
     assert len(set(known.values())) == len(known)
 
 
+def test_lines_without_python(spark):
+    """Sets, signatures and similarities are DataFrame operations, and similarities are exact."""
+    rng = random.Random(4)
+    lines = ["".join(rng.choices("abé\U0001f600 ", k=rng.choice([1, 5, 12, 80, 400]))) for _ in range(40)]
+    lines += [x[: len(x) - 4] + rng.choice(["", "zzzz", "abababab"]) for x in lines]
+    table = spark.createDataFrame([(i, 0, line, 1) for i, line in enumerate(lines)], "h1 long, h2 long, line string, n long")
+    pairs = table.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), ((F.col("h1") + 40) % 80).alias("b1"), F.col("h2").alias("b2"))
+    like = line_dedup.verified(pairs, table, 0.8)
+    for df in (line_dedup.shingle_sets(table, "h1"), line_dedup.signatures(table), like):
+        assert "InArrow" not in (plan := df._jdf.queryExecution().toString()) and "PythonUDF" not in plan
+    sets = [brute_shingles(line) for line in lines]
+    want = {i: len(sets[i] & sets[(i + 40) % 80]) >= 0.8 * len(sets[i] | sets[(i + 40) % 80]) for i in range(80)}
+    assert {r.a1: r.like for r in like.collect()} == want and len(set(want.values())) == 2
+
+
 def test_lines_odd(odd, empty):
     assert line_dedup.line_report(odd).count() == 9
     assert line_dedup.line_report(empty).count() == 0
