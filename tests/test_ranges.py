@@ -90,3 +90,21 @@ def test_reconcile_any_number_of_rows(spark):
     assert reconcile.reconcile_hash(rows, rows.filter("name <> 'N77'"), "2026-03-02", exact=True).first().status == "FAIL"
     run, diff = reconcile.reconcile(rows, rows.filter("name <> 'N77'"), "2026-03-02")
     assert run.first().status == "FAIL" and [tuple(r) for r in diff.collect()] == [("N77:2026-03-02", "SOURCE_ONLY")]
+
+
+def test_plain_digests_of_many_rows(spark):
+    """The MD5 that SQL takes, of groups beyond any run or block, whatever their number, with nulls and bytes of any script."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), f"é{rng.randrange(4000)}" * rng.choice([1, 3])) for _ in range(30_000)]
+    rows += [(f"g{i}", f"{i}") for i in range(500)] + [("long", "x" * 50_000), ("long", "y"), ("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, row string").repartition(5)
+    by = defaultdict(list)
+    for g, r in rows:
+        by[g].append(r)
+    plain = lambda x: hashlib.md5("".join(f"{r}\n" for r in sorted(r for r in x if r is not None)).encode()).hexdigest() if any(r is not None for r in x) else None
+    found = ordering.ordered_md5(df, ("g",)).collect()
+    assert {r.g: r.hash for r in found} == {g: plain(x) for g, x in by.items()}
+    assert len(found) == len(by)
+    assert ordering.ordered_md5(df).first().hash == plain([r for _, r in rows])
+    assert ordering.ordered_md5(df.limit(0)).first().hash == hashlib.md5(b"").hexdigest()
+    assert ordering.ordered_md5(df.limit(0), ("g",)).count() == 0
