@@ -108,3 +108,15 @@ def test_plain_digests_of_many_rows(spark):
     assert ordering.ordered_md5(df).first().hash == plain([r for _, r in rows])
     assert ordering.ordered_md5(df.limit(0)).first().hash == hashlib.md5(b"").hexdigest()
     assert ordering.ordered_md5(df.limit(0), ("g",)).count() == 0
+
+
+def test_reconcile_query_of_many_rows(spark, tmp_path):
+    """The registered query has the plain MD5 on a day with more rows than a run of the tree."""
+    from wharfline.queries import QUERIES
+
+    spark.range(6000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("n"), "id").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(6000).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("p").alias("o_orderpriority"), F.expr("TIMESTAMP_NTZ '1997-05-03'").alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    row = QUERIES["R2_reconcile_hash"](spark, str(tmp_path)).first()
+    plain = lambda ids: hashlib.md5("".join(sorted(f"N{i}:1997-05-01,N{i},p\n" for i in ids)).encode()).hexdigest()
+    assert (row.source_hash, row.target_hash, row.status) == (plain(range(6000)), plain(i for i in range(6000) if i % 97), "FAIL")

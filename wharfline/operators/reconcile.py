@@ -33,12 +33,15 @@ def reconcile_counts(source: DataFrame, target: DataFrame, date: str) -> DataFra
     return a.crossJoin(F.broadcast(b)).select("source_count", "target_count", F.when(same, "PASS").otherwise("FAIL").alias("status"), said.alias("message"))
 
 
-def reconcile_hash(source: DataFrame, target: DataFrame, date: str, exact: bool = False) -> DataFrame:
-    """PASS if both sides hold the same rows, in any order. exact: by the digest of the sorted rows, of any number."""
+def reconcile_hash(source: DataFrame, target: DataFrame, date: str, exact: bool = False, run: int | None = 4096) -> DataFrame:
+    """PASS if both sides hold the same rows, in any order. exact: by the digest of the sorted rows, of any number.
+
+    run: rows of a run in the tree of digests; None: the plain MD5, as SQL takes it, by one task a side.
+    """
     key = business_key(F.lit(date), F.upper(jtrim("name")))
     a, b = canonical(source, key), canonical(target.filter(F.col("batch_date") == date))
     if exact:
-        x, y = ordered_md5(a).select(F.col("hash").alias("source_hash")), ordered_md5(b).select(F.col("hash").alias("target_hash"))
+        x, y = ordered_md5(a, run=run).select(F.col("hash").alias("source_hash")), ordered_md5(b, run=run).select(F.col("hash").alias("target_hash"))
     else:
         whole = F.concat_ws(":", F.col("n").cast("string"), F.col("hash_sum").cast("string"))
         x, y = fingerprint(a).select(whole.alias("source_hash")), fingerprint(b).select(whole.alias("target_hash"))
