@@ -381,3 +381,20 @@ def test_import_twice(spark, tmp_path, lines):
         import_batch(spark, batch, str(tmp_path / "out"), DAY)
     count = lambda name: spark.read.parquet(str(tmp_path / "out" / name)).count()
     assert (count("records"), count("trace"), count("dlq")) == (1, 1, 2)
+
+
+def test_json_arrays_are_few_files(spark, tmp_path):
+    """The query's arrays are as many as tasks write, and not one for every hundred rows."""
+    from wharfline.queries import Given, json_arrays
+
+    spark.range(6000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("n"), "id").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.range(6000).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("p").alias("o_orderpriority"), F.expr("TIMESTAMP_NTZ '1997-05-03'").alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+
+    class Here(Given):
+        def folder(self, name):
+            return f"{tmp_path}/{name}"
+
+    rows = json_arrays(Here(spark, str(tmp_path)))
+    assert sorted(rows.select("id", "name").collect()) == [(i, f"n{i}") for i in range(6000)]
+    assert len(list((tmp_path / "json").rglob("part-*"))) <= 16
