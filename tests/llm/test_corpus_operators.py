@@ -313,6 +313,25 @@ def test_lines_without_python(spark):
     assert {r.a1: r.like for r in like.collect()} == want and len(set(want.values())) == 2
 
 
+def test_lines_that_meet_none_are_read_once(spark, monkeypatch):
+    """Only lines that share a bucket are read for their texts; outlines word by word hold a bit for each shingle."""
+    words = lambda n: " ".join(f"w{n * k % 9973:04d}" for k in range(1, 12))
+    texts = [words(n) for n in range(1, 200)] + [words(7) + " x", words(9) + " y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    plain = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, lines, *more: seen.append(lines.count()) or plain(pairs, lines, *more))
+    kept = {(r.doc_id, r.line_no) for r in line_dedup.dropped_lines(docs).collect()}
+    assert kept == {(199, 0), (200, 0)} and seen and max(seen) < 20
+    rows = spark.createDataFrame([(n, -n, t) for n, t in enumerate(texts)], "h1 long, h2 long, line string")
+    sets = {r.h1: set(r.shingles) for r in line_dedup.shingle_sets(rows, "h1").collect()}
+    for r in line_dedup.outlines(rows, line_dedup.SHINGLE).collect():
+        bits = [0] * line_dedup.OUTLINE
+        for h in sets[r.h1]:
+            bits[h >> 6 & line_dedup.OUTLINE - 1] |= 1 << (h & 63)
+        assert r.n == len(sets[r.h1]) and [r[f"o{i}"] & 2**64 - 1 for i in range(line_dedup.OUTLINE)] == bits
+
+
 def test_lines_odd(odd, empty):
     assert line_dedup.line_report(odd).count() == 9
     assert line_dedup.line_report(empty).count() == 0
